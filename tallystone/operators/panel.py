@@ -62,7 +62,7 @@ def patch_rows(base: DataFrame, patch: DataFrame, keys: Sequence[str]) -> DataFr
     """
     columns = [c for c in patch.columns if c not in keys]
     marked = patch.groupBy(*keys).agg(
-        F.count("*").alias("_n"), *[F.max_by(c, F.lit(1)).alias(f"_p_{c}") for c in columns])
+        F.count("*").alias("_n"), *[F.any_value(c).alias(f"_p_{c}") for c in columns])
     marked = marked.withColumn("_hit", F.when(F.col("_n") == 1, F.lit(True)).otherwise(
         F.raise_error(F.lit("duplicate key in patch")).cast("boolean"))).drop("_n")
     joined = base.join(marked, list(keys), "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallystone.plans import shares  # noqa: F401
+from tallystone.plans import panels, shaping, shares  # noqa: F401
 from tallystone.registry import ORACLES, QUERIES
 
 
