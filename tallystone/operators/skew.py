@@ -43,8 +43,10 @@ def salted_join(
         raise ValueError(f"salted_join cannot do {how}")
     hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
+    # rows without a key match nothing, but a left join still has to place them
+    spread_out = F.col("_hot") | ~_all_present(keys)
     left_s = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0))
+        "_salt", F.when(spread_out, spread).otherwise(F.lit(0))
     ).drop("_hot")
     right_s = right.join(hot, list(keys), "left").withColumn(
         "_salt",
