@@ -24,9 +24,9 @@ def first_date(col: Column, formats: Sequence[str]) -> Column:
     return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)).cast("date") for f in formats])
 
 
-def full_century(date: Column, before: Column) -> Column:
-    """Move a two-digit-year date up a century when it reads as earlier than ``before``."""
-    return F.when(date < before, F.add_months(date, 1200)).otherwise(date)
+def shift_century(date: Column, wrong: Column, centuries: int = 1) -> Column:
+    """Repair of two-digit years: move the date by whole centuries where it reads wrong."""
+    return F.when(wrong, F.add_months(date, 1200 * centuries)).otherwise(date)
 
 
 def era(date: Column, starts: Sequence[tuple[str, str]]) -> Column:

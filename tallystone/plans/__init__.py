@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallystone.plans import linkage, panels, shaping, shares  # noqa: F401
+from tallystone.plans import households, linkage, outputs, panels, places, shaping, shares, texts  # noqa: F401
 from tallystone.registry import ORACLES, QUERIES
 
 
