@@ -15,25 +15,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions import similarity
+from tallystone.session import cut_lineage, shuffle_width
 
 
 def _parts(text: Column, size: int) -> Column:
-    """Letter groups of ``size`` with a running number for repeats, so that the
-    intersection of two arrays counts repeats as a bag does."""
+    """Letter groups of ``size``, repeats numbered, so that the intersection of two
+    arrays counts repeats as a bag does."""
     n = F.length(text) - size + 1
-    grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(size)))).otherwise(
-        F.array().cast("array<string>"))
-    return F.transform(grams, lambda g, i: F.concat(
-        g, F.lit("\u0001"), F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+    grams = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(size))))
+
+    def numbered(g: Column) -> Column:
+        times = F.size(F.filter(grams, lambda x: x == g))
+        return F.transform(F.sequence(F.lit(1), times), lambda k: F.concat(g, F.lit("\u0001"), k.cast("string")))
+
+    return F.flatten(F.transform(F.array_distinct(grams), numbered))
 
 
 def _ranked_texts(texts: DataFrame, block: Sequence[str], text: str, size: int) -> DataFrame:
-    """Each text with its parts ordered from the rarest in the table."""
-    base = texts.withColumn("_parts", _parts(F.col(text), size)).where(F.size("_parts") > 0)
-    exploded = base.select(*block, text, F.explode("_parts").alias("_part"))
+    """Each text with its parts ordered from the rarest in the table.
+
+    Written out once: both sides of the pair join read it.
+    """
+    exploded = texts.select(*block, text, F.explode(_parts(F.col(text), size)).alias("_part"))
     frequency = exploded.groupBy("_part").agg(F.count("*").alias("_f"))
-    return exploded.join(frequency, "_part").groupBy(*block, text).agg(
+    tasks = shuffle_width(texts.sparkSession)
+    ranked = exploded.join(frequency, "_part").repartition(tasks, *block, text).groupBy(*block, text).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_f", "_part"))), lambda s: s["_part"]).alias("_parts"))
+    return cut_lineage(ranked)
 
 
 def candidate_pairs(texts: DataFrame, block: Sequence[str], text: str, size: int, needed: Callable[[Column, Column], Column],
@@ -60,7 +68,8 @@ def candidate_pairs(texts: DataFrame, block: Sequence[str], text: str, size: int
 
     shorter = side("_short", "_long", F.sequence(F.col("_len"), F.greatest(longest(F.col("_len")), F.col("_len"))), "text_a")
     longer = side("_long", "_short", F.sequence(F.least(shortest(F.col("_len")), F.col("_len")), F.col("_len")), "text_b")
-    joined = shorter.join(longer, [*block, "_short", "_long", "_key"])
+    # the keys outgrow any size estimate, so neither side may be broadcast on one
+    joined = shorter.join(longer.hint("merge"), [*block, "_short", "_long", "_key"])
     need = needed(F.col("_short"), F.col("_long"))
     width = F.least(F.lit(together), need)
     first_key = F.array_join(F.slice(F.array_intersect("text_a_head", "text_b_head"), F.lit(1), width), "\u0002")

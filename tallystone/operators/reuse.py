@@ -30,7 +30,7 @@ def reused_spans(current: DataFrame, key: str, text: str, prior: DataFrame, prio
     known = prior.select(F.explode(ngrams(tokens(F.col(prior_text)), n)).alias("_gram")).distinct()
     words = current.select(key, tokens(F.col(text)).alias("_words"))
     grams = words.select(key, F.posexplode(ngrams(F.col("_words"), n)).alias("_pos", "_gram"))
-    hits = salted_join(grams, known, ["_gram"], [key, "_pos"], "left_semi").select(key, "_pos")
+    hits = salted_join(grams, known, ["_gram"], [key, "_pos"], "left_semi", growth=n + 1).select(key, "_pos")
     by_pos = W.partitionBy(key).orderBy("_pos")
     # a hit that starts after the reach of the one before it opens a new run
     opened = hits.withColumn("_new", F.coalesce((F.col("_pos") > F.lag("_pos").over(by_pos) + n).cast("int"), F.lit(1)))

@@ -9,17 +9,36 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 200
 SALTS = 64
+# Below this part of the session's broadcast threshold Spark broadcasts the right
+# side by its own size estimate, and a broadcast join has no skew to cure.
+SAFE_PART = 0.25
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``1/share`` of all rows.
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    By counting, there are fewer than ``share`` of them whatever the input size,
-    so the result is safe to broadcast.
+
+def is_small(df: DataFrame, growth: float = 1.0) -> bool:
+    """Will Spark itself broadcast this side, with a margin for estimates that are too low?
+
+    ``growth`` says how much larger than its estimate the side may be, for sides
+    that explode arrays, which the estimate ignores.
+    """
+    spark = df.sparkSession
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return 0 < _estimated_bytes(df) * growth <= limit * SAFE_PART
+
+
+def hot_hashes(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> list[int]:
+    """Hashes of the keys that hold more than ``1/share`` of the rows.
+
+    One pass with a fixed-size frequent-items sketch per task; by counting there
+    are fewer than ``share`` of them whatever the input. Being literals afterwards,
+    they mean the same keys on both sides of a join and in every recomputation.
     """
-    counts = df.where(_all_present(keys)).groupBy(*keys).agg(F.count("*").alias("_rows"))
-    total = counts.agg((F.sum("_rows") / F.lit(share)).alias("_limit"))
-    return counts.where(F.col("_rows") > total.scalar()).select(*keys)
+    hashed = df.where(_all_present(keys)).select(F.xxhash64(*keys).alias("_h"))
+    row = hashed.agg(F.expr(f"approx_top_k(_h, {share}, {share * 50})").alias("top"), F.count("*").alias("n")).first()
+    return sorted(t["item"] for t in row["top"] or [] if t["count"] * share > row["n"])
 
 
 def salted_join(
@@ -30,28 +49,33 @@ def salted_join(
     how: str = "inner",
     share: int = HOT_SHARE,
     salts: int = SALTS,
+    growth: float = 1.0,
+    always: bool = False,
 ) -> DataFrame:
     """Equi-join in which the hot keys of ``left`` are spread over ``salts`` tasks.
 
-    ``spread_by`` names left columns that tell rows of one key apart; the salt is
-    a pure function of them, so a recomputed task puts every row where it was.
-    The matching right rows are repeated once per salt, only for hot keys. Works
-    for the join types that keep or drop left rows: inner, left, left_semi,
-    left_anti.
+    When the right side is small enough for Spark to broadcast, or no key is hot,
+    this is a plain join. Otherwise the rows of hot keys get a salt that is a pure
+    function of ``spread_by`` (columns that tell rows of one key apart), so a
+    recomputed task puts every row where it was; the matching right rows are
+    repeated once per salt. Works for the join types that keep or drop left rows:
+    inner, left, left_semi, left_anti. ``growth`` is passed to ``is_small``; ``always``
+    skips the size check (tests).
     """
     if how not in {"inner", "left", "left_semi", "left_anti"}:
         raise ValueError(f"salted_join cannot do {how}")
-    hot = F.broadcast(hot_keys(left, keys, share).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
-    # rows without a key match nothing, but a left join still has to place them
-    spread_out = F.col("_hot") | ~_all_present(keys)
-    left_s = left.join(hot, list(keys), "left").withColumn(
-        "_salt", F.when(spread_out, spread).otherwise(F.lit(0))
-    ).drop("_hot")
-    right_s = right.join(hot, list(keys), "left").withColumn(
-        "_salt",
-        F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0)))),
-    ).drop("_hot")
+    if not always and is_small(right, growth):
+        return left.join(right, list(keys), how)
+    right = right.hint("merge")
+    hot = hot_hashes(left, keys, share)
+    loose = ~_all_present(keys)  # rows without a key match nothing, but a left join has to place them
+    if not hot and how in {"inner", "left_semi"}:
+        return left.join(right, list(keys), how)
+    is_hot = F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+    copies = F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)))
+    left_s = left.withColumn("_salt", F.when(is_hot | loose, spread).otherwise(F.lit(0)))
+    right_s = right.withColumn("_salt", F.explode(copies)).hint("merge")
     return left_s.join(right_s, [*keys, "_salt"], how).drop("_salt")
 
 

@@ -52,7 +52,7 @@ def points_in_polygons(points: DataFrame, point: str, x: str, y: str, polygons:
     cells = rows.select(polygon, "_edges", F.explode("_xs").alias("_cx"), "_cy")
     placed = points.select(point, F.col(x).alias("_px"), F.col(y).alias("_py"),
                            _cell(F.col(x), cell).alias("_cx"), _cell(F.col(y), cell).alias("_cy"))
-    met = salted_join(placed, cells, ["_cx", "_cy"], [point])
+    met = salted_join(placed, cells, ["_cx", "_cy"], [point], growth=32)
     px, py = F.col("_px"), F.col("_py")
 
     def crosses(e: Column) -> Column:
@@ -106,7 +106,7 @@ def nearest_segments(points: DataFrame, point: str, x: str, y: str, segments: Da
             cells = cells.withColumn("_cy", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
             around = open_places.withColumn("_cx", F.explode(F.sequence(_cell(F.col("_px"), size) - 1, _cell(F.col("_px"), size) + 1)))
             around = around.withColumn("_cy", F.explode(F.sequence(_cell(F.col("_py"), size) - 1, _cell(F.col("_py"), size) + 1)))
-            met = salted_join(around, cells, [*group, "_cx", "_cy"], ["_px", "_py"])
+            met = salted_join(around, cells, [*group, "_cx", "_cy"], ["_px", "_py"], growth=8)
             best = met.groupBy(*group, "_px", "_py").agg(
                 F.min(F.struct(_distance_squared(F.col("_px"), F.col("_py")).alias("d"), F.col(feature).alias("f"))).alias("_b"))
             near = best if last else best.where(F.sqrt("_b.d") <= size)

@@ -24,7 +24,7 @@ select w, min(w) over (partition by k) canonical, count(*) over (partition by k)
 """)
 def equiv_key_join(t):
     """Each word of the documents with the first of its spellings that differ only in case or accents."""
-    words = _words(t.documents)
+    words = _words(t.spread("documents", "doc_id"))
     found = joins.resolve_ids(words, "w", words.withColumn("canonical", F.col("w")), "w", "canonical", text.equiv_key)
     return found.select("w", "canonical", "n_ids")
 
@@ -39,8 +39,8 @@ from k left join g using (k) where not en
 def match_key_join(t):
     """Words of the other languages against the English word list on the ASCII key."""
     is_en = F.col("lang") == "en"
-    listed = _words(t.documents.where(is_en)).withColumn("k", text.match_key(F.col("w"))).withColumnRenamed("w", "ident")
-    wanted = _words(t.documents.where(~is_en)).withColumn("k", text.match_key(F.col("w")))
+    listed = _words(t.spread("documents", "doc_id").where(is_en)).withColumn("k", text.match_key(F.col("w"))).withColumnRenamed("w", "ident")
+    wanted = _words(t.spread("documents", "doc_id").where(~is_en)).withColumn("k", text.match_key(F.col("w")))
     return linkage.candidate_status(wanted, "w", listed, "ident", ["k"]).select("w", "n_geo", "match_status")
 
 
@@ -187,7 +187,7 @@ def match_cascade(t):
     def keyed(df, ident):
         return df.select(ident, F.sha2("text", 256).alias("k_exact"), F.sha2(text.title_match_key(F.col("text")), 256).alias("k_space"),
                          F.sha2(_first_sentence(F.col("text")), 256).alias("k_first"))
-    items, docs = keyed(t.benchmark, "item_id"), keyed(t.documents, "doc_id")
+    items, docs = keyed(t.benchmark, "item_id"), keyed(t.spread("documents", "doc_id"), "doc_id")
     rules = {"exact": (F.col("k_exact"), items, "k_exact", "item_id"), "spacing": (F.col("k_space"), items, "k_space", "item_id"),
              "first sentence": (F.col("k_first"), items, "k_first", "item_id")}
     return linkage.cascade(docs, "doc_id", rules, "item_id").select("doc_id", "item_id", "match_rule")
@@ -330,7 +330,7 @@ select min(doc_id) doc_id, lang, count(*) n_citations from d group by lang, k
 def dedup_with_counts(t):
     """First document of each set of copies under the normalised key, with the number of copies."""
     key = F.sha2(text.citation_key(F.col("text"), F.lit(None).cast("string"), F.col("lang")), 256)
-    return t.documents.select(key.alias("k"), "doc_id", "lang").groupBy("k").agg(
+    return t.spread("documents", "doc_id").select(key.alias("k"), "doc_id", "lang").groupBy("k").agg(
         F.min_by("lang", "doc_id").alias("lang"), F.count("*").alias("n_citations"), F.min("doc_id").alias("doc_id")).drop("k")
 
 

@@ -249,7 +249,7 @@ def line_parse(t):
         F.concat(F.lit("Valley "), F.col("l_linenumber"), F.lit("ª s. Village "), F.col("l_suppkey")))
     line = F.concat_ws(" ", code, place, comma(F.col("l_quantity")), comma(F.col("l_discount") * 100), comma(F.col("l_tax") * 100),
                        F.concat(F.lit("Group"), F.col("l_returnflag")), F.lit("note"), F.col("l_linestatus"))
-    parsed = layout_text.parse_lines(t.lineitem.select("l_orderkey", "l_linenumber", line.alias("value")), "value", 3)
+    parsed = layout_text.parse_lines(t.spread("lineitem", "l_orderkey").select("l_orderkey", "l_linenumber", line.alias("value")), "value", 3)
     return parsed.select("l_orderkey", "l_linenumber", "code", "department", "section", "place", "n1", "n2", "n3", "group_name", "remark")
 
 

@@ -21,7 +21,7 @@ g as (select distinct {key}, trim(regexp_replace(s, '\s+', ' ', 'g')) fragment f
 @query("text_fragments", "with " + FRAGMENT_SQL.format(key="doc_id", table="documents") + "select doc_id, fragment from g")
 def text_fragments(t):
     """Sentence-like pieces of at least five words, once per document."""
-    return t.documents.select("doc_id", F.explode(wt.fragments(F.col("text"))).alias("fragment"))
+    return t.spread("documents", "doc_id").select("doc_id", F.explode(wt.fragments(F.col("text"))).alias("fragment"))
 
 
 GRAM_SQL = r"""
@@ -39,7 +39,7 @@ sp as (select doc_id, cast(min(p) as int) span_start, cast(max(p) as int) span_e
 @query("text_reuse_spans", "with " + GRAM_SQL + "select * from sp")
 def text_reuse_spans(t):
     """Runs of words in documents that are made of three-word sequences of the benchmark texts."""
-    return reuse.reused_spans(t.documents, "doc_id", "text", t.benchmark, "text", 3)
+    return reuse.reused_spans(t.spread("documents", "doc_id"), "doc_id", "text", t.benchmark, "text", 3)
 
 
 @query("new_text_share", "with " + GRAM_SQL + """
@@ -47,7 +47,7 @@ def text_reuse_spans(t):
 select doc_id, len(ws) n_words, cast(coalesce(n, 0) as bigint) n_reused, round(1 - coalesce(n, 0) / nullif(len(ws), 0), 6) share_new from d left join c using (doc_id)
 """)
 def new_text_share(t):
-    spans = reuse.reused_spans(t.documents, "doc_id", "text", t.benchmark, "text", 3)
+    spans = reuse.reused_spans(t.spread("documents", "doc_id"), "doc_id", "text", t.benchmark, "text", 3)
     return reuse.new_text_share(t.documents, "doc_id", "text", spans)
 
 
@@ -60,9 +60,10 @@ select a.conv_id, a.sentence, min(c.turn), arg_min(c.role, c.turn) from a left j
 """)
 def sentence_first_seen(t):
     """First turn of a conversation that contains each sentence; altered sentences stay unmatched."""
-    said = t.conversations.select("conv_id", F.explode(wt.fragments(F.col("text"))).alias("sentence")).distinct()
+    turns = t.spread("conversations", "conv_id")
+    said = turns.select("conv_id", F.explode(wt.fragments(F.col("text"))).alias("sentence")).distinct()
     altered = said.where(F.length("sentence") % 3 == 0).select("conv_id", F.concat("sentence", F.lit(" never said")).alias("sentence"))
-    return provenance.first_seen(said.unionByName(altered), t.conversations, "conv_id", "sentence", "text", "turn", ["role"])
+    return provenance.first_seen(said.unionByName(altered), turns, "conv_id", "sentence", "text", "turn", ["role"])
 
 
 @query("html_links", r"""
@@ -132,7 +133,7 @@ def _pages(t):
         F.lit("]] |year=c. 19"), F.lpad((F.col("p_partkey") % 100).cast("string"), 2, "0"), F.lit(" |publisher=Press |pages=1–9 |isbn=978"), k,
         F.lit("}}</ref> More.<ref name=\"n\">plain note "), k, F.lit("</ref>{{efn|{{cita web|título=Web "), k,
         F.lit(" |url=http://e.org/?a=1 |fecha=2001-02-03 |autor=Pérez, Ana}}}}"))
-    return t.part.select("p_partkey", body.alias("wikitext"))
+    return t.spread("part", "p_partkey").select("p_partkey", body.alias("wikitext"))
 
 
 @query("citation_table", """

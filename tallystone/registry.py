@@ -20,6 +20,18 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """The table for work that is heavy per row.
+
+        A large table has more splits than cores and is read as it is. A table of
+        few splits is hashed on ``key`` once, so that the work uses all cores.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+        return df.repartition(cores, key)
+
 
 def query(name: str, oracle: str | None = None):
     """Register ``fn(t: Tables) -> DataFrame`` under ``name``, with its SQL twin."""
