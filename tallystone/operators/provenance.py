@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.operators.skew import salted_join
+from tallystone.session import cut_lineage
 
 LETTERS = 6
 
@@ -34,6 +35,8 @@ def first_seen(sentences: DataFrame, revisions: DataFrame, article: str, sentenc
     keyed = keyed.withColumn("_anchor", F.when(F.col("_kind") > 0, F.array_join(
         F.slice(F.split(sentence, " "), F.lit(2), F.greatest("_kind", F.lit(1))), " ")).otherwise(
         F.substring(F.col(sentence), F.lit(1), F.abs("_kind"))))
+    keyed = cut_lineage(keyed)  # read for the keys, the kinds and the final answer
+    asked = keyed.select(article, sentence)
 
     kinds = keyed.select(article, "_kind").distinct()
     asked_of = revisions.join(kinds, article).select(article, when, "_kind", text)

@@ -9,24 +9,26 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 200
 SALTS = 64
-# Below this part of the session's broadcast threshold Spark broadcasts the right
-# side by its own size estimate, and a broadcast join has no skew to cure.
-SAFE_PART = 0.25
+def _estimate_and_limit(df: DataFrame) -> tuple[int, int]:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size, df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame, growth: float = 1.0) -> bool:
+def is_small(df: DataFrame, growth: int = 1) -> bool:
     """Will Spark itself broadcast this side, with a margin for estimates that are too low?
 
     ``growth`` says how much larger than its estimate the side may be, for sides
     that explode arrays, which the estimate ignores.
     """
-    spark = df.sparkSession
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return 0 < _estimated_bytes(df) * growth <= limit * SAFE_PART
+    size, limit = _estimate_and_limit(df)
+    return 0 < size * growth * 4 <= limit
+
+
+def unhinted_or_merge(df: DataFrame) -> DataFrame:
+    """Keep Spark from broadcasting a side whose estimate is under its threshold but not
+    safely so. A side estimated larger is left to the adaptive plan, which measures it."""
+    size, limit = _estimate_and_limit(df)
+    return df.hint("merge") if size <= limit else df
 
 
 def hot_hashes(df: DataFrame, keys: Sequence[str], share: int = HOT_SHARE) -> list[int]:
@@ -49,7 +51,7 @@ def salted_join(
     how: str = "inner",
     share: int = HOT_SHARE,
     salts: int = SALTS,
-    growth: float = 1.0,
+    growth: int = 1,
     always: bool = False,
 ) -> DataFrame:
     """Equi-join in which the hot keys of ``left`` are spread over ``salts`` tasks.
@@ -66,16 +68,15 @@ def salted_join(
         raise ValueError(f"salted_join cannot do {how}")
     if not always and is_small(right, growth):
         return left.join(right, list(keys), how)
-    right = right.hint("merge")
     hot = hot_hashes(left, keys, share)
     loose = ~_all_present(keys)  # rows without a key match nothing, but a left join has to place them
     if not hot and how in {"inner", "left_semi"}:
-        return left.join(right, list(keys), how)
+        return left.join(unhinted_or_merge(right), list(keys), how)
     is_hot = F.xxhash64(*keys).isin(hot) if hot else F.lit(False)
     spread = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     copies = F.sequence(F.lit(0), F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)))
     left_s = left.withColumn("_salt", F.when(is_hot | loose, spread).otherwise(F.lit(0)))
-    right_s = right.withColumn("_salt", F.explode(copies)).hint("merge")
+    right_s = unhinted_or_merge(right.withColumn("_salt", F.explode(copies)))
     return left_s.join(right_s, [*keys, "_salt"], how).drop("_salt")
 
 
