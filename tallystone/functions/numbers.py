@@ -22,10 +22,15 @@ def label_compact(col: Column) -> Column:
 def compact_count(col: Column) -> Column:
     """``1234567`` -> ``1.2M``; a dash for nothing."""
     n = col.cast("double")
+
+    def fixed(x: Column, pattern: str, unit: str) -> Column:
+        # half-even on the exact binary value, as C prints it
+        return F.concat(F.call_function("format_number", x, F.lit(pattern)), F.lit(unit))
+
     return (F.when(n.isNull() | (n == 0), F.lit("—"))
-            .when(n >= 1e9, F.format_string("%.1fB", n / 1e9))
-            .when(n >= 1e6, F.format_string("%.1fM", n / 1e6))
-            .when(n >= 1e3, F.format_string("%.0fK", n / 1e3))
+            .when(n >= 1e9, fixed(n / 1e9, "0.0", "B"))
+            .when(n >= 1e6, fixed(n / 1e6, "0.0", "M"))
+            .when(n >= 1e3, fixed(n / 1e3, "0", "K"))
             .otherwise(F.bround(n, 0).cast("long").cast("string")))
 
 

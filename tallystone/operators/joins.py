@@ -13,6 +13,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.operators.skew import salted_join
+
 
 def full_merge(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Full outer join of several tables on one key."""
@@ -42,11 +44,13 @@ def join_checked(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     return left.join(right, list(keys), how)
 
 
-def remap_join(left: DataFrame, code: str, remap: Mapping[str, str], right: DataFrame, right_code: str) -> DataFrame:
+def remap_join(left: DataFrame, code: str, remap: Mapping[str, str], right: DataFrame, right_code: str,
+               spread_by: Sequence[str]) -> DataFrame:
     """Left join on a code that goes through a table of exceptions on the left side only."""
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(remap.items())])
     mapped = left.withColumn("_code", F.coalesce(F.try_element_at(table, F.col(code)), F.col(code)))
-    return mapped.join(right, F.col("_code") == F.col(right_code), "left").drop("_code")
+    keyed = right.withColumn("_code", F.col(right_code))
+    return salted_join(mapped, keyed, ["_code"], spread_by, "left").drop("_code")
 
 
 def overlay(primary: DataFrame, fallback: DataFrame, key: str, columns: Sequence[str], flag: str) -> DataFrame:
@@ -100,10 +104,11 @@ def resolve_ids(inputs: DataFrame, text: str, aliases: DataFrame, alias: str, ke
     return found.withColumn("n_ids", F.coalesce("n_ids", F.lit(0).cast("long")))
 
 
-def attach_ids(df: DataFrame, found: DataFrame, keys: Sequence[str], key: str, overwrite: bool = False) -> DataFrame:
+def attach_ids(df: DataFrame, found: DataFrame, keys: Sequence[str], key: str, spread_by: Sequence[str],
+               overwrite: bool = False) -> DataFrame:
     """Put the resolved id on every row; an existing id stays unless ``overwrite``."""
     new = found.select(*keys, F.col(key).alias("_new"))
-    joined = df.join(new, list(keys), "left")
+    joined = salted_join(df, new, list(keys), spread_by, "left")
     if key in df.columns and not overwrite:
         return joined.withColumn(key, F.coalesce(key, "_new")).drop("_new")
     return joined.drop(key).withColumnRenamed("_new", key)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallystone.operators.skew import salted_join
 from tallystone.session import cut_lineage, shuffle_width
 
 
@@ -108,9 +109,9 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[st
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_w"))
     ranked = running(counts, group, [F.col(value).asc()], sums={"_upto": F.col("_w")})
     sizes = counts.groupBy(*group).agg(F.sum("_w").alias("_size"))
-    on = [F.col(f"_z_{g}").eqNullSafe(F.col(g)) for g in group]
-    sizes = sizes.select("_size", *[F.col(g).alias(f"_z_{g}") for g in group])
-    placed = ranked.join(sizes, on, "inner")
+    # a struct of the group columns is never NULL, so missing groups match as well
+    key = F.struct(*group)
+    placed = salted_join(ranked.withColumn("_g", key), sizes.select(key.alias("_g"), "_size"), ["_g"], [value])
     picks, finals = [], []
     for name, p in probs.items():
         at = (F.col("_size") - 1) * F.lit(float(p))

@@ -45,12 +45,13 @@ def _ranked_texts(texts: DataFrame, block: Sequence[str], text: str, size: int)
 
 
 def candidate_pairs(texts: DataFrame, block: Sequence[str], text: str, size: int, needed: Callable[[Column, Column], Column],
-                    longest: Callable[[Column], Column], shortest: Callable[[Column], Column], together: int) -> DataFrame:
+                    longest: Callable[[Column], Column], shortest: Callable[[Column], Column], together: int, recount: bool) -> DataFrame:
     """Pairs of distinct texts of one block that share enough rare parts.
 
     ``needed(short, long)`` is the smallest overlap of two similar texts of those
     lengths; ``longest`` and ``shortest`` bound the partner's length. Keys join
-    ``together`` parts at once (1 or 2) to be more selective.
+    ``together`` parts at once (1 or 2) to be more selective; ``recount`` also tests
+    the overlap of the whole bags, which pays when the check that follows is dear.
     """
     ranked = _ranked_texts(texts, block, text, size).withColumn("_len", F.length(text))
 
@@ -64,7 +65,7 @@ def candidate_pairs(texts: DataFrame, block: Sequence[str], text: str, size: int
             F.slice("_head", i + 2, F.greatest(F.size("_head") - i - 1, F.lit(0))), lambda y: F.concat(x, F.lit("\u0002"), y))))
         keys = F.when(width == 1, F.col("_head")).otherwise(pairs_of)
         return out.select(*block, "_short", "_long", F.explode(keys).alias("_key"), F.col(text).alias(name),
-                          F.col("_head").alias(f"{name}_head"), F.col("_parts").alias(f"{name}_parts"))
+                          F.col("_head").alias(f"{name}_head"), *([F.col("_parts").alias(f"{name}_parts")] if recount else []))
 
     shorter = side("_short", "_long", F.sequence(F.col("_len"), F.greatest(longest(F.col("_len")), F.col("_len"))), "text_a")
     longer = side("_long", "_short", F.sequence(F.least(shortest(F.col("_len")), F.col("_len")), F.col("_len")), "text_b")
@@ -73,10 +74,9 @@ def candidate_pairs(texts: DataFrame, block: Sequence[str], text: str, size: int
     need = needed(F.col("_short"), F.col("_long"))
     width = F.least(F.lit(together), need)
     first_key = F.array_join(F.slice(F.array_intersect("text_a_head", "text_b_head"), F.lit(1), width), "\u0002")
-    kept = joined.where(
-        ((F.col("_short") < F.col("_long")) | (F.col("text_a") < F.col("text_b")))
-        & (F.col("_key") == first_key)
-        & (F.size(F.array_intersect("text_a_parts", "text_b_parts")) >= need))
+    kept = joined.where(((F.col("_short") < F.col("_long")) | (F.col("text_a") < F.col("text_b"))) & (F.col("_key") == first_key))
+    if recount:
+        kept = kept.where(F.size(F.array_intersect("text_a_parts", "text_b_parts")) >= need)
     return kept.select(*block, F.least("text_a", "text_b").alias("text_a"), F.greatest("text_a", "text_b").alias("text_b"))
 
 
@@ -98,7 +98,7 @@ def edit_similar_pairs(df: DataFrame, block: Sequence[str], text: str, min_sim:
         texts, block, text, 2,
         needed=lambda s, m: F.when(edits(m) > 0, m - 1 - 3 * edits(m)).otherwise(0),
         longest=lambda n: F.floor(n / min_sim + 1e-9).cast("int"),
-        shortest=lambda n: n - edits(n), together=1)
+        shortest=lambda n: n - edits(n), together=1, recount=False)
     longer = F.greatest(F.length("text_a"), F.length("text_b"))
     near = pairs.where(F.levenshtein("text_a", "text_b") <= 2 * edits(longer))
     scored = near.withColumn("distance", similarity.osa("text_a", "text_b"))
@@ -120,6 +120,6 @@ def jaro_similar_pairs(df: DataFrame, block: Sequence[str], text: str, max_dista
         texts, block, text, 1,
         needed=lambda s, m: F.ceil((3 * sim - 1) * s * m / (s + m) - 1e-9).cast("int"),
         longest=lambda n: F.floor(n / ratio + 1e-9).cast("int"),
-        shortest=lambda n: F.ceil(n * ratio - 1e-9).cast("int"), together=2)
+        shortest=lambda n: F.ceil(n * ratio - 1e-9).cast("int"), together=2, recount=True)
     scored = pairs.withColumn("distance", 1.0 - similarity.jaro("text_a", "text_b"))
     return scored.where((F.col("distance") > 0) & (F.col("distance") <= max_distance + 1e-12))

@@ -39,7 +39,7 @@ def first_seen(sentences: DataFrame, revisions: DataFrame, article: str, sentenc
     asked = keyed.select(article, sentence)
 
     kinds = keyed.select(article, "_kind").distinct()
-    asked_of = revisions.join(kinds, article).select(article, when, "_kind", text)
+    asked_of = salted_join(revisions, kinds, [article], [when]).select(article, when, "_kind", text)
     n_letters = F.length(text) + F.col("_kind") + 1
     letter_starts = F.when(n_letters > 0, F.sequence(F.lit(1), n_letters)).otherwise(F.array().cast("array<int>"))
     by_letters = F.array_distinct(F.transform(letter_starts, lambda i: F.substring(F.col(text), i, F.abs("_kind"))))
@@ -50,6 +50,6 @@ def first_seen(sentences: DataFrame, revisions: DataFrame, article: str, sentenc
 
     hits = salted_join(anchored, keyed, [article, "_kind", "_anchor"], [when]).select(article, when, sentence)
     wanted = revisions.select(article, when, text, *keep)
-    checked = hits.join(wanted, [article, when]).where(F.contains(F.col(text), F.col(sentence)))
+    checked = salted_join(hits, wanted, [article, when], [sentence]).where(F.contains(F.col(text), F.col(sentence)))
     first = checked.groupBy(article, sentence).agg(F.min(F.struct(when, *keep)).alias("_first"))
     return asked.join(first, [article, sentence], "left").select(article, sentence, "_first.*")

@@ -117,11 +117,8 @@ def nearest_segments(points: DataFrame, point: str, x: str, y: str, segments: Da
     if found is None:
         return points.select(point, F.lit(None).cast(segments.schema[feature].dataType).alias(feature),
                              F.lit(None).cast("double").alias("distance"))
-    on = (F.col(x) == F.col("_px")) & (F.col(y) == F.col("_py"))
-    found = found.withColumnsRenamed({g: f"_g_{g}" for g in group})
-    for g in group:
-        on = on & (F.col(g) == F.col(f"_g_{g}"))
-    return points.join(found, on, "left").select(point, F.col("_b.f").alias(feature), F.sqrt("_b.d").alias("distance"))
+    found = found.withColumnsRenamed({"_px": x, "_py": y})
+    return salted_join(points, found, [*group, x, y], [point], "left").select(point, F.col("_b.f").alias(feature), F.sqrt("_b.d").alias("distance"))
 
 
 def polygon_segments(polygons: DataFrame, polygon: str, rings: str, keep: Sequence[str] = ()) -> DataFrame:

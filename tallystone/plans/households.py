@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallystone.operators import aggregate, household
+from tallystone.operators.skew import salted_join
 from tallystone.registry import query
 
 PEOPLE_SQL = """
@@ -21,7 +22,8 @@ k as (select ch.id, ch.rel, ch.lev, ch.lang own, ch.area, ad.lev plev, ad.lang p
 def _people(t):
     k = F.col("o_orderkey")
     homes = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("area"))
-    return t.orders.join(homes, F.col("o_custkey") == F.col("c_custkey")).select(
+    orders = t.orders.select("o_orderkey", "o_custkey")
+    return salted_join(orders, homes.withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"], ["o_orderkey"]).select(
         k.alias("id"), F.col("o_custkey").alias("dw"), (k % 11 + 1).cast("int").alias("rel"), (k % 83).alias("age"),
         (k % 8).cast("int").alias("lev"), F.concat(F.lit("L"), (F.col("o_custkey") + F.floor(k / 7)) % 4).alias("lang"), "area")
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tallystone.functions import text
 from tallystone.operators import joins, linkage, pairs
 from tallystone.operators.aggregate import counts_by
-from tallystone.operators.panel import first_rows, patch_rows
+from tallystone.operators.panel import patch_rows
+from tallystone.operators.skew import salted_join
 from tallystone.registry import query
 
 FOLD_SQL = "lower(strip_accents(replace(replace(replace(w, 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')))"
@@ -60,7 +61,8 @@ def alias_resolution(t):
             .when(k == 2, F.concat(F.lit("Länd "), "n_nationkey")).otherwise(F.concat(F.lit("nowhere "), "n_nationkey")))
     inputs = c.select("c_custkey", said.alias("place"))
     found = joins.resolve_ids(inputs, "place", aliases, "alias", "n_nationkey", text.equiv_key)
-    attached = joins.attach_ids(inputs, found, ["place"], "n_nationkey").join(found.select("place", "n_ids"), "place")
+    attached = salted_join(
+        joins.attach_ids(inputs, found, ["place"], "n_nationkey", ["c_custkey"]), found.select("place", "n_ids"), ["place"], ["c_custkey"])
     names = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
     return attached.join(names, "n_nationkey", "left").select("c_custkey", "n_nationkey", "n_ids", "n_name", "r_name")
 
@@ -116,7 +118,7 @@ def _crosswalk(t):
     for side in "ab":
         edges = edges.join(ids.withColumnsRenamed({"nm": f"text_{side}", "id": f"id_{side}"}), ["p_brand", "p_size", f"text_{side}"])
     clusters = linkage.entity_map(keys, "id", edges, "id_a", "id_b")
-    return t.part.join(keys.join(clusters, "id"), ["p_brand", "p_size", "p_name"]).select("p_partkey", "p_name", "id", "canonical_id")
+    return salted_join(t.part, keys.join(clusters, "id"), ["p_brand", "p_size", "p_name"], ["p_partkey"]).select("p_partkey", "p_name", "id", "canonical_id")
 
 
 @query("entity_clusters", ENTITY_SQL + """
@@ -130,7 +132,7 @@ def entity_clusters(t):
     manual = names.where("canonical_id % 100 = 7").select("canonical_id", F.upper("canonical_name").alias("canonical_name"))
     names = patch_rows(names, manual, ["canonical_id"])
     sizes = keyed.groupBy("canonical_id").agg(F.countDistinct("p_name").alias("n_variants"))
-    return keyed.select("p_partkey", "canonical_id").join(names.join(sizes, "canonical_id"), "canonical_id")
+    return salted_join(keyed.select("p_partkey", "canonical_id"), names.join(sizes, "canonical_id"), ["canonical_id"], ["p_partkey"])
 
 
 @query("location_variants", """
@@ -223,7 +225,7 @@ def _part_crosswalk(t):
         "unique_via_size": linkage.narrowed(listed, "ident", [*by, "sz"], "rec"),
         "unique_via_type": linkage.preferred(listed, "ident", by, rank, "rec")})
     still = resolved.where("match_status = 'ambiguous'").groupBy(*by).agg(F.min("rec").alias("_grp"), F.count("*").alias("_k"))
-    shared = resolved.join(still.where("_k > 1"), by, "left")
+    shared = salted_join(resolved, still.where("_k > 1"), by, ["rec"], "left")
     is_shared = (F.col("match_status") == "ambiguous") & F.col("_k").isNotNull()
     return shared.withColumns({
         "split_group": F.when(is_shared, F.col("_grp")),
@@ -254,7 +256,7 @@ def status_lookup(t):
     sizes = x.where("split_group is not null").groupBy("split_group").agg(F.count("*").alias("k"))
     wanted = t.part.select(F.col("p_partkey").alias("rec")).unionByName(
         t.part.where("p_partkey % 50 = 0").select((-F.col("p_partkey") - 1).alias("rec")))
-    found = wanted.join(x, "rec", "left").join(sizes, "split_group", "left")
+    found = salted_join(wanted.join(x, "rec", "left"), sizes, ["split_group"], ["rec"], "left")
     shared = F.when(F.col("split_group").isNotNull(), F.concat(F.lit(", shared by "), "k", F.lit(" codes"))).otherwise("")
     words = (F.when(F.col("match_status").isNull(), "no such code")
              .when(F.col("ident").isNotNull(), F.concat(F.lit("points to "), F.col("ident")))
@@ -274,7 +276,7 @@ def reverse_status(t):
     fixed = x.where("ident is not null").groupBy("ident").agg(F.count("*").alias("a"), F.min("rec").alias("ra"))
     pool = x.where("match_status like 'ambiguous%'").groupBy("p_brand", "p_name").agg(F.count("*").alias("b"), F.min("rec").alias("rb"))
     listed = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("ident"), "p_brand", "p_name")
-    both = listed.join(fixed, "ident", "left").join(pool, ["p_brand", "p_name"], "left")
+    both = salted_join(listed.join(fixed, "ident", "left"), pool, ["p_brand", "p_name"], ["ident"], "left")
     zero = F.lit(0).cast("long")
     return both.select("ident", (F.coalesce("a", zero) + F.coalesce("b", zero)).alias("n_records"),
                        F.least("ra", "rb").alias("first_record"), F.coalesce("b", zero).alias("n_open"))
@@ -373,4 +375,4 @@ def title_match(t):
     k = F.col("p_partkey") % 3
     said = F.when(k == 0, F.upper("p_name")).when(k == 1, F.replace("p_name", F.lit(" "), F.lit("   "))).otherwise(F.concat("p_name", F.lit("!")))
     titles = t.part.groupBy(text.title_match_key(F.col("p_name")).alias("k")).agg(F.min("p_name").alias("title"))
-    return t.part.select("p_partkey", text.title_match_key(said).alias("k")).join(titles, "k", "left").select("p_partkey", "title")
+    return salted_join(t.part.select("p_partkey", text.title_match_key(said).alias("k")), titles, ["k"], ["p_partkey"], "left").select("p_partkey", "title")

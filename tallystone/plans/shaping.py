@@ -342,7 +342,7 @@ select doc_id, lang, language from documents left join r on code = case lang whe
 """)
 def code_remap_join(t):
     table = t.spark.createDataFrame([("eng", "English"), ("deu", "German"), ("fr", "French")], "code string, language string")
-    return joins.remap_join(t.documents.select("doc_id", "lang"), "lang", {"en": "eng", "de": "deu"}, table, "code").select(
+    return joins.remap_join(t.documents.select("doc_id", "lang"), "lang", {"en": "eng", "de": "deu"}, table, "code", ["doc_id"]).select(
         "doc_id", "lang", "language")
 
 
@@ -368,7 +368,7 @@ union all select 'urgent_and_low', c_custkey from (select o_custkey c_custkey fr
   intersect select o_custkey from orders where o_orderpriority = '5-LOW')
 """)
 def semi_anti_sets(t):
-    cust, orders = t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    cust, orders = t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority").distinct()
     urgent = orders.where(F.col("o_orderpriority") == "1-URGENT").select("c_custkey")
     low = orders.where(F.col("o_orderpriority") == "5-LOW").select("c_custkey")
     kinds = {"with_orders": cust.join(orders, "c_custkey", "left_semi"),

@@ -151,14 +151,14 @@ def test_ambiguous_and_unknown_names(spark):
 def test_existing_id_is_kept_unless_overwritten(spark):
     df = spark.createDataFrame([("a", 5), ("b", None)], "place string, id int")
     found = spark.createDataFrame([("a", 1), ("b", 2)], "place string, id int")
-    assert sorted(r.id for r in joins.attach_ids(df, found, ["place"], "id").collect()) == [2, 5]
-    assert sorted(r.id for r in joins.attach_ids(df, found, ["place"], "id", overwrite=True).collect()) == [1, 2]
+    assert sorted(r.id for r in joins.attach_ids(df, found, ["place"], "id", ["id"]).collect()) == [2, 5]
+    assert sorted(r.id for r in joins.attach_ids(df, found, ["place"], "id", ["place"], overwrite=True).collect()) == [1, 2]
 
 
 def test_remap_applies_to_the_left_side_only(spark):
     left = spark.createDataFrame([("simple",), ("no",), ("xx",)], "code string")
     right = spark.createDataFrame([("en", "English"), ("nb", "Bokmål"), ("no", "wrong")], "bcp string, name string")
-    got = {r.code: r.name for r in joins.remap_join(left, "code", {"simple": "en", "no": "nb"}, right, "bcp").collect()}
+    got = {r.code: r.name for r in joins.remap_join(left, "code", {"simple": "en", "no": "nb"}, right, "bcp", ["code"]).collect()}
     assert got == {"simple": "English", "no": "Bokmål", "xx": None}
 
 
