@@ -35,7 +35,7 @@ def exact_sum(col: Column) -> Column:
 
 def row_sum(cols: Iterable[Column]) -> Column:
     """Sum across columns of a row, ignoring NULLs (0 when all are NULL)."""
-    return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in cols])
+    return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in cols], F.lit(0))
 
 
 def blank_to_null(col: Column) -> Column:

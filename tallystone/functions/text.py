@@ -32,6 +32,10 @@ def equiv_key(col: Column) -> Column:
     return F.lower(F.replace(fold_accents(spaced), F.lit('"'), F.lit("")))
 
 
+def equivalent(a: Column, b: Column) -> Column:
+    return equiv_key(a) == equiv_key(b)
+
+
 def match_key(col: Column) -> Column:
     """Upper-case key that drops non-ASCII letters instead of folding them."""
     upper = F.upper(squish(col))

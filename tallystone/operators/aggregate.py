@@ -223,3 +223,9 @@ def label_placement(df: DataFrame, mid: str = "seg_mid", width: str = "n",
         "placement",
         F.when(F.col(width) > x_range * inside, "inside").when(F.col(width) > x_range * above, "above")
         .otherwise("none"))
+
+
+def side_totals(df: DataFrame, group: str, n: str = "n") -> DataFrame:
+    """Left and right totals of a diverging table per group."""
+    return df.groupBy(group).agg(*[
+        F.coalesce(F.sum(F.when(F.col("side") == s, F.col(n))), F.lit(0).cast("long")).alias(f"{s}_total") for s in ("left", "right")])

@@ -10,6 +10,7 @@ from tallystone.operators.aggregate import counts_by
 from tallystone.operators.panel import patch_rows
 from tallystone.operators.skew import salted_join
 from tallystone.registry import query
+from tallystone.session import cut_lineage
 
 FOLD_SQL = "lower(strip_accents(replace(replace(replace(w, 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')))"
 
@@ -118,7 +119,8 @@ def _crosswalk(t):
     for side in "ab":
         edges = edges.join(ids.withColumnsRenamed({"nm": f"text_{side}", "id": f"id_{side}"}), ["p_brand", "p_size", f"text_{side}"])
     clusters = linkage.entity_map(keys, "id", edges, "id_a", "id_b")
-    return salted_join(t.part, keys.join(clusters, "id"), ["p_brand", "p_size", "p_name"], ["p_partkey"]).select("p_partkey", "p_name", "id", "canonical_id")
+    clusters = cut_lineage(keys.join(clusters, "id"))
+    return salted_join(t.part, clusters, ["p_brand", "p_size", "p_name"], ["p_partkey"]).select("p_partkey", "p_name", "canonical_id")
 
 
 @query("entity_clusters", ENTITY_SQL + """
