@@ -46,11 +46,15 @@ def schema_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def variable_presence(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Which variables exist in which tables."""
-    rows = schema_rows(tables)
-    wide = rows.groupBy("variable_name").agg(*[
-        F.bool_or(F.col("table_name") == t).alias(t) for t in tables])
-    return wide.withColumn("n_tables", sum((F.col(t).cast("int") for t in tables), F.lit(0)))
+    """Number of values of every variable in every table; NULL where the table lacks it."""
+    counted = None
+    for name, df in tables.items():
+        counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).withColumn("table_name", F.lit(name))
+        rows = counts.unpivot("table_name", df.columns, "variable_name", "n_values")
+        counted = rows if counted is None else counted.unionByName(rows)
+    return counted.groupBy("variable_name").agg(
+        *[F.max(F.when(F.col("table_name") == t, F.col("n_values"))).alias(t) for t in tables],
+        F.count_if(F.col("n_values") > 0).alias("n_tables"))
 
 
 def data_dictionary(df: DataFrame, descriptions: Mapping[str, str]) -> DataFrame:

@@ -97,9 +97,9 @@ def column_profile(t):
 
 
 @query("variable_presence", """
-select variable_name, bool_or(t = 'customer') customer, bool_or(t = 'supplier') supplier, cast(count(*) as int) n_tables from (
-  select 'customer' t, regexp_replace(column_name, '^[a-z]_', '') variable_name from (describe customer)
-  union all select 'supplier', regexp_replace(column_name, '^[a-z]_', '') from (describe supplier)) group by 1
+with v as (select 'customer' t, unnest(['custkey', 'name', 'nationkey', 'acctbal', 'mktsegment']) v, unnest([count(c_custkey), count(c_name), count(c_nationkey), count(c_acctbal), count(c_mktsegment)]) n from customer
+  union all select 'supplier', unnest(['suppkey', 'name', 'nationkey', 'acctbal']), unnest([count(s_suppkey), count(s_name), count(s_nationkey), count(s_acctbal)]) from supplier)
+select v variable_name, max(n) filter (t = 'customer') customer, max(n) filter (t = 'supplier') supplier, count(*) filter (n > 0) n_tables from v group by 1
 """)
 def variable_presence(t):
     short = lambda df: df.toDF(*[c.split("_", 1)[1] for c in df.columns])

@@ -9,6 +9,7 @@ from tallystone.functions.nulls import cents, exact_sum
 from tallystone.functions.numbers import label_compact
 from tallystone.operators import aggregate as agg
 from tallystone.operators import ordered, panel
+from tallystone.operators.skew import salted_join
 from tallystone.registry import query
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -16,7 +17,7 @@ PRIORITY_COLUMNS = {"1-URGENT": "to_urgent", "2-HIGH": "to_high", "3-MEDIUM": "t
                     "4-NOT SPECIFIED": "to_not_specified", "5-LOW": "to_low"}
 
 
-def nation_facts(t, extra_keys=()):
+def nation_facts(t):
     """Suppliers with their nation and region names."""
     return (t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
             .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -252,16 +253,17 @@ def region_year_totals(t):
 
 
 @query("rank_shift_scale", """
-with r as (select n_regionkey, n_name, row_number() over w rk, count(*) over (partition by n_regionkey) k from nation
-  window w as (partition by n_regionkey order by n_nationkey))
-select n_regionkey, n_name, cast(rk as int) rk, round(case when k > 1 then -0.6 + (rk - 1) / (k - 1) * 1.2 else 0 end, 6) shift from r
+with r as (select s_nationkey, s_suppkey, row_number() over w rk, count(*) over (partition by s_nationkey) k from supplier
+  window w as (partition by s_nationkey order by s_acctbal, s_suppkey))
+select s_nationkey, s_suppkey, rk, round(case when k > 1 then -0.6 + (rk - 1) / (k - 1) * 1.2 else 0 end, 6) shift from r
 """)
 def rank_shift_scale(t):
     """Rank in group rescaled to a fixed range; a single member gets 0."""
-    w = W.partitionBy("n_regionkey")
-    ranked = t.nation.withColumn("rk", F.row_number().over(w.orderBy("n_nationkey"))).withColumn("k", F.count("*").over(w))
+    base = t.supplier.select("s_nationkey", "s_suppkey", "s_acctbal")
+    ranked = ordered.number_rows(base, [F.col("s_acctbal").asc(), F.col("s_suppkey").asc()], "rk", ["s_nationkey"])
+    sized = salted_join(ranked, agg.counts_by(base, ["s_nationkey"], out="k"), ["s_nationkey"], ["s_suppkey"])
     shift = F.when(F.col("k") > 1, -0.6 + (F.col("rk") - 1) / (F.col("k") - 1) * 1.2).otherwise(0.0)
-    return ranked.select("n_regionkey", "n_name", "rk", F.round(shift, 6).alias("shift"))
+    return sized.select("s_nationkey", "s_suppkey", "rk", F.round(shift, 6).alias("shift"))
 
 
 @query("class_region_table", """
