@@ -356,6 +356,19 @@ def global_rank(t):
     return ordered.number_rows(df, [F.col("_v").desc(), F.col("s_suppkey").asc()], "position").drop("_v")
 
 
+@query("global_rank_topk", """
+with r as (select s_suppkey, s_acctbal, row_number() over (order by coalesce(s_acctbal, 0) desc, s_suppkey) position from supplier)
+select * from r where position <= 10
+""")
+def global_rank_topk(t):
+    """The ten highest positions of the whole table."""
+    df = t.supplier.select("s_suppkey", "s_acctbal", F.coalesce("s_acctbal", F.lit(0.0)).alias("_v"))
+    best = df.orderBy(F.col("_v").desc(), "s_suppkey").limit(10)
+    # ten rows from here on
+    order = W.orderBy(F.col("_v").desc(), "s_suppkey")
+    return best.withColumn("position", F.row_number().over(order).cast("long")).drop("_v")
+
+
 @query("top_abs_change", """
 with q as (select l_partkey, sum(cast(l_quantity as decimal(18,2))) filter (year(l_shipdate) = 1998)::double a,
   sum(cast(l_quantity as decimal(18,2))) filter (year(l_shipdate) = 1999)::double b from lineitem group by 1)
