@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,7 @@ def overlay_metadata(refs: DataFrame, ref: str, rules: Mapping[str, Column], ext
     out = refs.withColumn("enrich_status", F.lit(None).cast("string"))
     for name, expr in rules.items():
         joined = salted_join(out.withColumn("_k", F.when(F.col("enrich_status").isNull(), expr)), new, ["_k"], [ref], "left")
-        brought = F.coalesce(*[F.col(f"_n_{c}").isNotNull() & F.lit(True) for c in columns], F.lit(False)) if len(columns) == 1 else \
-            F.greatest(*[F.col(f"_n_{c}").isNotNull() for c in columns])
+        brought = reduce(or_, [F.col(f"_n_{c}").isNotNull() for c in columns])
         status = F.when(F.col("enrich_status").isNotNull(), F.col("enrich_status")).when(
             F.col("_hit") & brought, name).when(F.col("_hit"), "failed")
         joined = joined.withColumns({c: F.coalesce(F.col(f"_n_{c}"), F.col(c)) for c in columns}).withColumn("enrich_status", status)

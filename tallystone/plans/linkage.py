@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallystone.functions import text
-from tallystone.operators import joins, linkage, pairs
+from tallystone.operators import citations, joins, linkage, pairs
 from tallystone.operators.aggregate import counts_by
 from tallystone.operators.panel import patch_rows
 from tallystone.operators.skew import salted_join
@@ -345,11 +345,9 @@ from documents d left join (select distinct * from labels) l using (doc_id)
 """)
 def metadata_overlay(t):
     """Enriched values win where they are not blank; the status says what happened."""
-    from tallystone.operators.citations import overlay_metadata
-
     extra = t.labels.distinct().join(t.documents.select("doc_id", "lang"), "doc_id").select(
         F.col("doc_id").alias("key"), F.when(F.col("quality") == 1, F.concat(F.lit("curated "), "lang")).otherwise(" ").alias("source"))
-    out = overlay_metadata(t.documents.select("doc_id", "source"), "doc_id", {"enriched": F.col("doc_id")}, extra, "key", ["source"])
+    out = citations.overlay_metadata(t.documents.select("doc_id", "source"), "doc_id", {"enriched": F.col("doc_id")}, extra, "key", ["source"])
     return out.select("doc_id", "source", "enrich_status")
 
 
@@ -360,11 +358,9 @@ select title, target, 'https://example.org/wiki/' || replace(title, ' ', '+') ur
 """)
 def missing_titles(t):
     """Redirect rows for alias titles that do not exist yet."""
-    from tallystone.operators.citations import redirects
-
     title = F.concat_ws(" ", "p_name", "p_type").alias("title")
     aliases = t.part.where("p_size < 5").select(title, F.col("p_brand").alias("target")).distinct()
-    return redirects(aliases, t.part.where("p_size > 48").select(title), "https://example.org/wiki/")
+    return citations.redirects(aliases, t.part.where("p_size > 48").select(title), "https://example.org/wiki/")
 
 
 @query("title_match", r"""

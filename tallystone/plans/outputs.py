@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallystone.functions import dates, numbers, text
-from tallystone.operators import quality
+from tallystone.operators import joins, quality
 from tallystone.registry import query
 from tallystone.sources import snapshots, text_sinks
 
@@ -110,9 +110,7 @@ def variable_presence(t):
 select l_orderkey, l_linenumber, count(*) n_rows from lineitem group by all having count(*) > 1
 """)
 def duplicate_keys(t):
-    from tallystone.operators.joins import duplicate_keys as repeated
-
-    return repeated(t.lineitem, ["l_orderkey", "l_linenumber"])
+    return joins.duplicate_keys(t.lineitem, ["l_orderkey", "l_linenumber"])
 
 
 @query("latin_words", r"""
