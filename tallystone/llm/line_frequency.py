@@ -111,8 +111,7 @@ def line_frequency(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Base counts, words taken off as boilerplate and the verdict, for each row of ``docs``.
 
     A line goes when more than ``min_docs`` and more than ``max_share`` of the host's
-    distinct texts hold it. A document is depleted when fewer than ``MIN_WORDS`` words or less
-    than ``min_left`` of its words are left.
+    distinct texts hold it. A document is depleted when less than ``min_left`` of its words are left.
     """
     keyed = _keyed(docs, doc_id, text, host)
     kinds = dict(keyed.dtypes)
@@ -141,4 +140,4 @@ def line_frequency(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return joined.select(
         F.col("a.id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         F.coalesce("n_boilerplate", F.lit(0)).cast("long").alias("n_boilerplate"), failed.alias("base_failed"),
-        (~failed & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words"))).alias("kept"))
+        (~failed & (left >= min_left * F.col("n_words"))).alias("kept"))

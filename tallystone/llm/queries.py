@@ -40,3 +40,23 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallystone.llm.line_frequency import line_frequency
 
     return line_frequency(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document contains to four fifths or more."""
+    from tallystone.llm.containment import contained_items
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contained_items(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.size("items").cast("long").alias("n_items"), (F.size("items") > 0).alias("contaminated"),
+                        "items", "containment")
+
+
+@register
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    from tallystone.llm.dart_minhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")

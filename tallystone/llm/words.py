@@ -139,3 +139,42 @@ def map_texts(df: DataFrame, text: str, schema: str,
                         schema=target)
 
     return df.mapInArrow(run, schema)
+
+
+_PLAIN = np.zeros(256, bool)
+_PLAIN[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
+_PLAIN[0x80:] = True
+
+
+def plain_words(texts: Texts) -> tuple[Texts, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased texts and the spans of their runs of letters, digits and non-ASCII characters."""
+    import pyarrow.compute as pc
+
+    lowered = Texts(pc.utf8_lower(texts.column))
+    return lowered, *lowered.spans(_PLAIN[lowered.data])
+
+
+def shingles(texts: Texts, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of every run of ``k`` words; a text of 1 to k-1 words is one shingle."""
+    starts, ends, bounds = texts.spans()
+    word = texts.hashes(starts, ends)
+    at, run = windows(word, bounds, k)
+    text_of = owners(bounds)
+    n = np.diff(bounds)
+    short = np.flatnonzero((n > 0) & (n < k))
+    if not len(short):
+        return text_of[at], run
+    place = np.arange(len(word)) - bounds[text_of]
+    terms = mix(word + mix(place.astype(np.uint64)))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
+    whole = mix(sums[bounds[short + 1]] - sums[bounds[short]] + np.uint64(1))
+    return np.concatenate([text_of[at], short]), np.concatenate([run, whole])
+
+
+def distinct(text_of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once per text, sorted by text and hash."""
+    order = np.lexsort((hashes, text_of))
+    text_of, hashes = text_of[order], hashes[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (text_of[1:] != text_of[:-1]) | (hashes[1:] != hashes[:-1])
+    return text_of[new], hashes[new]
