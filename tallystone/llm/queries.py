@@ -60,3 +60,14 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+@register
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document's token ids, read back from record files."""
+    import public_tokenizers
+
+    from tallystone.llm.token_records import token_records
+
+    read = token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
