@@ -71,3 +71,13 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     read = token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@register
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeat a passage of a document with a smaller id, taken out."""
+    from tallystone.llm.substring_dedup import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
+                                       F.sha2("_kept", 256).alias("kept_sha256"))
