@@ -81,3 +81,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
                                        F.sha2("_kept", 256).alias("kept_sha256"))
+
+
+@register
+def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, with inclusion scores and the round trip."""
+    import public_tokenizers
+
+    from tallystone.llm.piece_sampling import sample_segmentations
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), F.col("doc_id")).select(
+        "doc_id", F.size("samples").cast("long").alias("n_samples"), F.col("samples.n_pieces").alias("n_pieces"),
+        F.transform("samples", lambda s: F.crc32(s["ids"])).alias("ids_crc32"), F.col("samples.log_prob").alias("log_prob"),
+        F.col("samples.log_inclusion").alias("log_inclusion"), "round_trip")
