@@ -399,4 +399,4 @@ def sample_segmentations(docs: DataFrame, model: str, key: Column, text: str = "
             exact.append(good)
         return {**{f"c{i}": batch.column(i) for i in range(len(names))}, "samples": samples, "round_trip": exact}
 
-    return map_texts(renamed, body, schema, rows, size=1 << 21).toDF(*names, "samples", "round_trip")
+    return map_texts(renamed, body, schema, rows, size=1 << 20).toDF(*names, "samples", "round_trip")

@@ -34,7 +34,7 @@ from tallystone.llm.fm_index import FMIndex
 from tallystone.llm.words import chunks, mix, owners, windows
 
 WINDOW, ANCHOR = 13, 4
-BATCH_BYTES, SHARD_BYTES = 16 << 20, 8 << 20
+BATCH_BYTES, SHARD_BYTES = 8 << 20, 8 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -81,8 +81,9 @@ class Batch:
         self.texts = []
         for first, _, texts in chunks(self.docs.column("_body")):
             begin, end, bounds = texts.spans()
-            self.texts.append((first, texts, begin, end, bounds))
+            self.texts.append((first, texts))
             hashes = texts.hashes(begin, end)
+            texts._sums = None
             word.append(hashes)
             counts.append(np.diff(bounds))
             where, run = windows(hashes, bounds, ANCHOR)
@@ -304,7 +305,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         removed = np.concatenate([[0], np.cumsum(gone)])
         n_removed = removed[ends] - removed[ends - batch.n_words]
         kept, at = [], 0
-        for first, texts, _, _, _ in batch.texts:
+        for first, texts in batch.texts:
             data, cuts = texts.data.tobytes(), texts.bounds
             for i in range(len(texts)):
                 words = data[cuts[i] : cuts[i + 1]].split()
