@@ -21,10 +21,12 @@ class; a null id never names a class unless all ids of it are null; other column
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.llm.stars import groups
@@ -155,6 +157,56 @@ def _check(part: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"node": [], "root": [], "links": []})
 
 
+def _short(node: str) -> Column:
+    """First half of a node's hash as a number: two texts that share it only share a family."""
+    return F.conv(F.hex(F.substring(node, 1, 7)), 16, 10).cast("long")
+
+
+def _bucket_links(signed: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` (short nodes) that hang the texts of every band bucket on its least text.
+
+    A batch of rows hangs its own texts of a bucket on the least of them and sends only that one on, packed
+    by shard of the bucket's hash; so a bucket of any size reaches its shard as one entry per batch.
+    """
+    n_shards = max(1, int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = signed.select(_short("node").alias("short"), "bands")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = np.repeat(batch.column("short").to_numpy(), BANDS)
+            key = batch.column("bands").flatten().to_numpy().view(np.uint64)
+            key, node, links = _hang(key, node)
+            shard = (key % np.uint64(n_shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(n_shards + 1))
+            own = {s: (key[order[a:b]], node[order[a:b]]) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a}
+            yield pa.RecordBatch.from_pydict({
+                "shard": list(own), "keys": [k.tobytes() for k, _ in own.values()], "nodes": [n.tobytes() for _, n in own.values()],
+                "links": [links.tobytes() if i == 0 else b"" for i in range(len(own))]})
+
+    def join(part: pd.DataFrame) -> pd.DataFrame:
+        key = np.concatenate([np.frombuffer(k, np.uint64) for k in part["keys"]])
+        node = np.concatenate([np.frombuffer(n, np.int64) for n in part["nodes"]])
+        sent = [np.frombuffer(x, np.int64).reshape(-1, 2) for x in part["links"]]
+        links = np.unique(np.concatenate([_hang(key, node)[2], *sent]), axis=0)
+        return pd.DataFrame({"a": links[:, 0], "b": links[:, 1]})
+
+    packed = rows.mapInArrow(pack, "shard long, keys binary, nodes binary, links binary")
+    return packed.groupBy("shard").applyInPandas(join, "a long, b long").distinct()
+
+
+def _hang(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once with its least node, and the distinct links of the other nodes to it."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    least = node[new][np.cumsum(new) - 1]
+    other = node != least
+    links = np.unique(np.stack([node[other], least[other]], 1), axis=0)
+    return key[new], node[new], links
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """``id``, ``node`` (hash of the text), ``class_id`` (least id of the class) and ``n_links``, per row of ``docs``.
 
@@ -174,12 +226,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return {"id": batch.column("id"), "node": batch.column("node"), "size": size, "bands": bands}
 
     signed = cut_lineage(map_texts(keyed, "body", f"id {kind}, node binary, size long, bands array<long>", sign))
-    nodes = signed.where("size > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("size").alias("size"), F.first("bands").alias("bands"))
-    spread = nodes.select("node", F.explode("bands").alias("h"))
-    buckets = spread.groupBy("h").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last")
-    hung = spread.join(buckets.select("h", "center"), "h").where("node <> center").select("node", "center").distinct()
-    family = groups(hung, "node", "center").withColumnRenamed("root", "family")
-    sized = family.join(nodes.select("node", "rep", "size"), "node")
+    nodes = signed.where("size > 0").groupBy("node").agg(F.min("id").alias("rep"), F.max("size").alias("size"))
+    hung = _bucket_links(signed.where("size > 0"))
+    family = groups(hung, "a", "b").select(F.col("node").alias("short"), F.col("root").alias("family"))
+    sized = nodes.withColumn("short", _short("node")).join(family, "short").drop("short")
     blocks = sized.groupBy("family").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("nb"),
                                          F.sum("size").alias("mass"))
     member = cut_lineage(sized.join(blocks, "family").select("node", "rep", "family", "size", "nb"))
@@ -197,7 +247,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return {**{c: batch.column(c) for c in ("node", "family", "nb", "block")},
                 "sets": [element[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]}
 
-    sets = map_texts(texts_of, "body", "node binary, family binary, nb long, block long, sets binary", gather)
+    sets = map_texts(texts_of, "body", "node binary, family long, nb long, block long, sets binary", gather)
     paired = (sets.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
               .select("node", "family", "block", "sets", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                       F.when(F.col("nb") == 1, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.xxhash64("family")).alias("task")))
