@@ -11,6 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 HELD_OUT = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
 QUALITY_AT = 0.3
+TOXIC_AT = 0.3
 
 
 def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -95,3 +96,34 @@ def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("samples").cast("long").alias("n_samples"), F.col("samples.n_pieces").alias("n_pieces"),
         F.transform("samples", lambda s: F.crc32(s["ids"])).alias("ids_crc32"), F.col("samples.log_prob").alias("log_prob"),
         F.col("samples.log_inclusion").alias("log_inclusion"), "round_trip")
+
+
+@register
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tallystone.llm.cut_extraction import extract_main_text
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_main_text(pages).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+@register
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that lines, paragraphs or the whole text of each document state."""
+    from tallystone.llm.license_scan import scan_licenses
+
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.array_max(F.col("licenses.dice"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.col("licenses.license").alias("licenses"), best.alias("dice"))
+
+
+@register
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chained probabilities of low quality and of toxicity for every document."""
+    from tallystone.llm.toxicity_chain import score_toxicity, toxicity_chain
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
+    chain = toxicity_chain(docs, labels, ["low_quality", "toxic"])
+    p = F.col("probabilities")
+    return score_toxicity(docs, chain).select("doc_id", p[0].alias("p_low_quality"), p[1].alias("p_toxic"), (p[1] >= TOXIC_AT).cast("int").alias("toxic"))
