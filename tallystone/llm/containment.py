@@ -110,11 +110,12 @@ class ItemIndex:
 
 def contained_items(docs: DataFrame, items: DataFrame, item_id: str = "item_id", text: str = "text",
                     item_text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """``docs`` with ``items`` (sorted ids of the items it contains) and ``containment`` (their shares)."""
+    """``docs`` with ``_items`` (sorted ids of the items it contains) and ``_containment`` (their shares)."""
     spark = docs.sparkSession
     shingled = item_shingles(items, item_id, item_text).groupBy("item").agg(F.max(F.struct("k", "hashes")).alias("s")).select("item", "s.*")
     total = shingled.agg(F.sum(F.length("hashes") / 8)).first()[0] or 0
     blocks = max(1, int(-(-total // BLOCK)))
+    docs = docs.drop("_items", "_containment")
     names = docs.columns
     kinds = docs.dtypes
     out = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -135,5 +136,5 @@ def contained_items(docs: DataFrame, items: DataFrame, item_id: str = "item_id",
         schema = ", ".join(f"`{c}` {t}" for c, t in out.dtypes) + f", i{b} array<long>, s{b} array<double>"
         out = map_texts(out, body, schema, rows)
     found = F.array_sort(F.concat(*[F.arrays_zip(F.col(f"i{b}").alias("item"), F.col(f"s{b}").alias("share")) for b in range(blocks)]))
-    return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], found.alias("_found")).select(
-        *names, F.col("_found.item").alias("items"), F.col("_found.share").alias("containment"))
+    return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.transform(found, lambda x: x["item"]).alias("_items"),
+                      F.transform(found, lambda x: x["share"]).alias("_containment"))

@@ -206,7 +206,8 @@ def main_text(html: str | None, smooth: float = 0.5) -> str:
 
 
 def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with ``main_text``. Pages are independent, so no shuffle is needed."""
+    """``pages`` with ``_main_text``. Pages are independent, so no shuffle is needed."""
+    pages = pages.drop("_main_text")
     names = pages.columns
     renamed = pages.toDF(*[f"c{i}" for i in range(len(names))])
     column = names.index(html)
@@ -219,4 +220,4 @@ def extract_main_text(pages: DataFrame, html: str = "html") -> DataFrame:
                 texts = pa.array([main_text(h) for h in part.column(column).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "main_text"])
 
-    return renamed.mapInArrow(run, schema).toDF(*names, "main_text")
+    return renamed.mapInArrow(run, schema).toDF(*names, "_main_text")

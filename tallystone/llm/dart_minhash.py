@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     single = F.col("nb") == 1
     placed = member.withColumn("block", F.when(single, 0).otherwise(F.pmod(F.xxhash64("node"), "nb")))
     # one row of docs stands for each node: the one with the least id
-    texts_of = keyed.alias("k").join(placed.alias("p"), (F.col("k.node") == F.col("p.node")) & F.col("id").eqNullSafe(F.col("rep"))).select(
+    # (a stated merge join: the nodes are too many to broadcast at scale, whatever an estimate says of a small input)
+    texts_of = keyed.alias("k").join(placed.alias("p").hint("merge"), (F.col("k.node") == F.col("p.node")) & F.col("id").eqNullSafe(F.col("rep"))).select(
         "p.node", "family", "nb", "block", "body")
 
     def gather(batch: pa.RecordBatch, texts: Texts) -> dict:
@@ -269,9 +270,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     found = near_duplicates(docs, doc_id, text, threshold)
     kept = found.where("some and id <=> class_id").groupBy("class_id").agg(F.min("node").alias("node"))
     names = docs.columns
-    full = docs.withColumn("_node", F.unhex(F.md5(text)))
+    full = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    own_id, own_text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
+    full = full.withColumn("_node", F.unhex(F.md5(own_text)))
     stay = kept.select(F.col("class_id").alias("_id"), F.col("node").alias("_kept"))
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = (full.join(stay, full[doc_id].eqNullSafe(stay["_id"]) & (full["_node"] == stay["_kept"]))
+    one = (full.join(stay, F.col(own_id).eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_kept")))
            .dropDuplicates(["_id", "_kept"]))
-    return one.select(*names).unionByName(docs.where(wordless))
+    return one.select([f"c{i}" for i in range(len(names))]).toDF(*names).unionByName(docs.where(wordless))

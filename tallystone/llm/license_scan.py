@@ -108,8 +108,9 @@ def _units(texts: Texts) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", threshold: float = 0.8, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """``docs`` with ``licenses``: an array of (``license``, ``dice``: the best of any unit), sorted by name."""
+    """``docs`` with ``_licenses``: an array of (``license``, ``dice``: the best of any unit), sorted by name."""
     index = TemplateIndex(TEMPLATES if templates is None else templates, threshold)
+    docs = docs.drop("_licenses")
     names = docs.columns
     renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])
     schema = ", ".join(f"`c{i}` {t}" for i, (_, t) in enumerate(docs.dtypes)) + ", licenses array<struct<license:string,dice:double>>"
@@ -138,4 +139,4 @@ def scan_licenses(docs: DataFrame, text: str = "text", threshold: float = 0.8, t
         return {**{f"c{i}": batch.column(i) for i in range(len(names))},
                 "licenses": [[{"license": k, "dice": v} for k, v in sorted(f.items())] for f in found]}
 
-    return map_texts(renamed, f"c{names.index(text)}", schema, rows).toDF(*names, "licenses")
+    return map_texts(renamed, f"c{names.index(text)}", schema, rows).toDF(*names, "_licenses")

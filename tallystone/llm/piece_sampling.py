@@ -372,9 +372,10 @@ class Sampler:
 
 def sample_segmentations(docs: DataFrame, model: str, key: Column, text: str = "text", k: int = 2, alpha: float = 1.0,
                          seed: int = 1) -> DataFrame:
-    """``docs`` with ``samples``: an array of (``ids`` as unsigned 32-bit little-endian, ``n_pieces``, ``log_prob``,
-    ``perturbed``, ``log_inclusion``) in order of the perturbed log-probability, and ``round_trip``:
+    """``docs`` with ``_samples``: an array of (``ids`` as unsigned 32-bit little-endian, ``n_pieces``, ``log_prob``,
+    ``perturbed``, ``log_inclusion``) in order of the perturbed log-probability, and ``_round_trip``:
     whether every sample decodes to the text."""
+    docs = docs.drop("_samples", "_round_trip")
     names = docs.columns
     renamed = docs.withColumn("_key", F.xxhash64(key.cast("string"), F.lit(seed))).toDF(*[f"c{i}" for i in range(len(names))], "_key")
     body = f"c{names.index(text)}"
@@ -399,4 +400,4 @@ def sample_segmentations(docs: DataFrame, model: str, key: Column, text: str = "
             exact.append(good)
         return {**{f"c{i}": batch.column(i) for i in range(len(names))}, "samples": samples, "round_trip": exact}
 
-    return map_texts(renamed, body, schema, rows, size=1 << 20).toDF(*names, "samples", "round_trip")
+    return map_texts(renamed, body, schema, rows, size=1 << 20).toDF(*names, "_samples", "_round_trip")

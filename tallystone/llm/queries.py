@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-HELD_OUT = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
 QUALITY_AT = 0.3
 TOXIC_AT = 0.3
 
 
+def held_out(doc_id: str) -> Column:
+    """Whether a row is kept for tests, by the checksum of its id as text."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
 def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -29,10 +33,9 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallystone.llm.subword_quality import quality_model, score_texts
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality_model(docs, table(spark, sf_dir, "labels"), ~HELD_OUT)
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = quality_model(docs, table(spark, sf_dir, "labels"), ~held_out("id"))
     return score_texts(docs, model).select(
-        "doc_id", held.alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
+        "doc_id", held_out("doc_id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= QUALITY_AT).cast("int").alias("predicted"))
 
 
 @register
@@ -50,8 +53,8 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", F.size("items").cast("long").alias("n_items"), (F.size("items") > 0).alias("contaminated"),
-                        "items", "containment")
+    return found.select("doc_id", F.size("_items").cast("long").alias("n_items"), (F.size("_items") > 0).alias("contaminated"),
+                        F.col("_items").alias("items"), F.col("_containment").alias("containment"))
 
 
 @register
@@ -93,9 +96,9 @@ def op5_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), F.col("doc_id")).select(
-        "doc_id", F.size("samples").cast("long").alias("n_samples"), F.col("samples.n_pieces").alias("n_pieces"),
-        F.transform("samples", lambda s: F.crc32(s["ids"])).alias("ids_crc32"), F.col("samples.log_prob").alias("log_prob"),
-        F.col("samples.log_inclusion").alias("log_inclusion"), "round_trip")
+        "doc_id", F.size("_samples").cast("long").alias("n_samples"), F.col("_samples.n_pieces").alias("n_pieces"),
+        F.transform("_samples", lambda s: F.crc32(s["ids"])).alias("ids_crc32"), F.col("_samples.log_prob").alias("log_prob"),
+        F.col("_samples.log_inclusion").alias("log_inclusion"), F.col("_round_trip").alias("round_trip"))
 
 
 @register
@@ -104,7 +107,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallystone.llm.cut_extraction import extract_main_text
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return extract_main_text(pages).select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+    return extract_main_text(pages).select("page_id", "url", F.col("_main_text").alias("text"), F.length("_main_text").cast("long").alias("n_chars"))
 
 
 @register
@@ -113,8 +116,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallystone.llm.license_scan import scan_licenses
 
     found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    best = F.array_max(F.col("licenses.dice"))
-    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.col("licenses.license").alias("licenses"), best.alias("dice"))
+    best = F.array_max(F.col("_licenses.dice"))
+    return found.select("doc_id", F.size("_licenses").cast("long").alias("n_licenses"), F.col("_licenses.license").alias("licenses"), best.alias("dice"))
 
 
 @register
@@ -125,5 +128,5 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").withColumn("low_quality", 1 - F.col("quality"))
     chain = toxicity_chain(docs, labels, ["low_quality", "toxic"])
-    p = F.col("probabilities")
+    p = F.col("_probabilities")
     return score_toxicity(docs, chain).select("doc_id", p[0].alias("p_low_quality"), p[1].alias("p_toxic"), (p[1] >= TOXIC_AT).cast("int").alias("toxic"))

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from tallystone.llm.containment import contained_items
 from tallystone.llm.dart_minhash import keep_one
 from tallystone.llm.piece_sampling import sample_segmentations
-from tallystone.llm.queries import HELD_OUT, QUALITY_AT, table
+from tallystone.llm.queries import QUALITY_AT, held_out, table
 from tallystone.llm.subword_quality import quality_model, score_texts
 from tallystone.llm.substring_dedup import remove_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labelled rows that are not held out."""
-    model = quality_model(docs, table(spark, sf_dir, "labels"), ~HELD_OUT)
-    return score_texts(docs, model).where(F.col("score") >= QUALITY_AT).select(*docs.columns)
+    model = quality_model(docs, table(spark, sf_dir, "labels"), ~held_out("id"))
+    return score_texts(docs, model).where(F.col("_score") >= QUALITY_AT).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
     found = contained_items(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("items") == 0).select(*docs.columns)
+    return found.where(F.size("_items") == 0).select(*docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +48,5 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     import public_tokenizers
 
     out = sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"), F.col("doc_id"))
-    return out.select("doc_id", "lang", "source", F.col("samples.ids").alias("ids"), F.col("samples.n_pieces").alias("n_pieces"),
-                      F.col("samples.log_inclusion").alias("log_inclusion"), "round_trip")
+    return out.select("doc_id", "lang", "source", F.col("_samples.ids").alias("ids"), F.col("_samples.n_pieces").alias("n_pieces"),
+                      F.col("_samples.log_inclusion").alias("log_inclusion"), F.col("_round_trip").alias("round_trip"))

@@ -213,6 +213,7 @@ def _shard_answers(part: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``docs``, with ``_n_words``, ``_n_removed`` and ``_kept`` (kept words joined by one space)."""
+    docs = docs.drop("_n_words", "_n_removed", "_kept")
     names = docs.columns
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_batches, n_shards = max(1, -(-size // BATCH_BYTES)), max(1, -(-size // SHARD_BYTES))

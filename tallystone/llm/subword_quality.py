@@ -114,8 +114,9 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, learn: Col
 
 
 def score_texts(docs: DataFrame, model: SubwordModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``text`` and all other columns are kept; adds ``score``, the chance of class 1."""
+    """``doc_id``, ``text`` and all other columns are kept; adds (or replaces) ``_score``, the chance of class 1."""
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)
+    docs = docs.drop("_score")
     names = docs.columns
     schema = ", ".join([f"`c{i}` {t}" for i, (_, t) in enumerate(docs.dtypes)] + ["score double"])
     renamed = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -128,7 +129,7 @@ def score_texts(docs: DataFrame, model: SubwordModel, doc_id: str = "doc_id", te
         return {**{f"c{i}": batch.column(i) for i in range(len(names))}, "score": 1 / (1 + np.exp(-np.clip(odds, -700, 700)))}
 
     column = f"c{names.index(text)}"
-    return map_texts(renamed, column, schema, rows).toDF(*names, "score")
+    return map_texts(renamed, column, schema, rows).toDF(*names, "_score")
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "quality",

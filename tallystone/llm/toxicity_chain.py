@@ -55,7 +55,7 @@ class Linear:
         return np.bincount(x.row, self.words[x.column], x.n) + before @ self.chain + self.bias
 
 
-def fit(x: Rows, before: np.ndarray, y: np.ndarray, width: int, rounds: int = 150, rate: float = 0.15, decay: float = 0.3) -> Linear:
+def fit(x: Rows, before: np.ndarray, y: np.ndarray, width: int, rounds: int = 150, rate: float = 0.15, decay: float = 2.0) -> Linear:
     """Logistic regression with a squared penalty, by gradient steps of adaptive size over all rows."""
     w, c, bias = np.zeros(width), np.zeros(before.shape[1]), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v = np.zeros(width + len(c) + 1), np.zeros(width + len(c) + 1)
@@ -128,7 +128,8 @@ def toxicity_chain(docs: DataFrame, labels: DataFrame, categories: list[str], do
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
-    """``docs`` with ``probabilities``, one per category in the chain's order."""
+    """``docs`` with ``_probabilities``, one per category in the chain's order."""
+    docs = docs.drop("_probabilities")
     names = docs.columns
     buckets = len(chain.models[0].words)
     used = np.any([m.words != 0 for m in chain.models], axis=0)
@@ -147,4 +148,4 @@ def score_toxicity(docs: DataFrame, chain: Chain, text: str = "text") -> DataFra
         return {**{f"c{i}": batch.column(i) for i in range(len(names))},
                 "probabilities": pa.ListArray.from_arrays(offsets, pa.array(chance.reshape(-1)))}
 
-    return map_texts(renamed, f"c{names.index(text)}", schema, rows).toDF(*names, "probabilities")
+    return map_texts(renamed, f"c{names.index(text)}", schema, rows).toDF(*names, "_probabilities")
