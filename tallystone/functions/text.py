@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with marks and the plain letters they fold to.
-ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõøōúùûüūýÿñçÁÀÂÄÃÅĀÉÈÊËĒÍÌÎÏĪÓÒÔÖÕØŌÚÙÛÜŪÝŸÑÇ"
-PLAIN = "aaaaaaaeeeeeiiiiiooooooouuuuuyyncAAAAAAAEEEEEIIIIIOOOOOOOUUUUUYYNC"
-# Letters that fold to two letters.
-TWO_LETTER = {"ß": "ss", "æ": "ae", "œ": "oe", "Æ": "AE", "Œ": "OE"}
+# Latin letters that are no marked form of another letter, and what they fold to.
+OWN_LETTERS = {
+    "Æ": "AE", "æ": "ae", "Ð": "D", "ð": "d", "Ø": "O", "ø": "o", "Þ": "TH", "þ": "th", "ß": "ss", "ẞ": "SS", "Đ": "D", "đ": "d", "Ħ": "H", "ħ": "h",
+    "ı": "i", "ĸ": "q", "Ł": "L", "ł": "l", "Ŋ": "N", "ŋ": "n", "Œ": "OE", "œ": "oe", "Ŧ": "T", "ŧ": "t", "ƀ": "b", "Ɓ": "B", "Ɖ": "D", "Ɗ": "D",
+    "ƒ": "f", "Ƒ": "F", "Ɠ": "G", "Ɨ": "I", "ɨ": "i", "Ƙ": "K", "ƙ": "k", "ƚ": "l", "Ɲ": "N", "ƞ": "n", "Ƥ": "P", "ƥ": "p", "ƫ": "t", "Ƭ": "T",
+    "ƭ": "t", "Ʈ": "T", "Ʋ": "V", "Ƴ": "Y", "ƴ": "y", "Ƶ": "Z", "ƶ": "z", "Ə": "E", "ə": "e", "Ǥ": "G", "ǥ": "g", "Ȥ": "Z", "ȥ": "z", "Ⱥ": "A",
+    "Ȼ": "C", "ȼ": "c", "Ƚ": "L", "Ɇ": "E", "ɇ": "e", "Ɉ": "J", "ɉ": "j", "Ɍ": "R", "ɍ": "r", "Ɏ": "Y", "ɏ": "y", "ȷ": "j",
+}
+
+
+def _folding() -> dict[str, str]:
+    """Every Latin letter of the first blocks to plain letters: by its decomposition, else by its own entry."""
+    out = dict(OWN_LETTERS)
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        letter = chr(code)
+        parts = [p for p in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(p)]
+        plain = "".join(OWN_LETTERS.get(p, p) for p in parts)
+        if plain != letter and plain.isascii() and plain.isalpha():
+            out.setdefault(letter, plain)
+    return out
+
+
+_FOLDS = _folding()
+_SINGLE = {k: v for k, v in _FOLDS.items() if len(v) == 1}
+_DOUBLE = {k: v for k, v in _FOLDS.items() if len(v) > 1}
 
 
 def fold_accents(col: Column) -> Column:
-    out = F.translate(col, ACCENTED, PLAIN)
-    for mark, letters in TWO_LETTER.items():
-        out = F.replace(out, F.lit(mark), F.lit(letters))
+    """Latin letters without their marks, composed or not; letters of other scripts stay."""
+    bare = F.regexp_replace(col, r"(?<=\p{IsLatin})\p{Mn}+", "")
+    out = F.translate(bare, "".join(_SINGLE), "".join(_SINGLE.values()))
+    for letter, letters in _DOUBLE.items():
+        out = F.replace(out, F.lit(letter), F.lit(letters))
     return out
 
 
+def pad_zeros(col: Column, width: int) -> Column:
+    """Zeros in front up to ``width``; longer texts stay whole, unlike with ``lpad``."""
+    text = col.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
 def squish(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"\s+", " "))
 

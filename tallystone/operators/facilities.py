@@ -57,7 +57,7 @@ def _first(column: str) -> Column:
 def facility_keys(records: DataFrame) -> DataFrame:
     """One numbered row per exact name, city and state, with its normalised address and ZIP."""
     shaped = records.select(
-        *NAME, F.lpad(F.col("facility_zip"), 5, "0").alias("zip5"), F.upper(text.squish(F.col("facility_address"))).alias("addr_norm"))
+        *NAME, text.pad_zeros(F.col("facility_zip"), 5).alias("zip5"), F.upper(text.squish(F.col("facility_address"))).alias("addr_norm"))
     keys = shaped.groupBy(*NAME).agg(_first("addr_norm"), _first("zip5"))
     return number_rows(keys, [F.col(c).asc() for c in NAME], "facility_id")
 

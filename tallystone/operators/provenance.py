@@ -40,13 +40,16 @@ def first_seen(sentences: DataFrame, revisions: DataFrame, article: str, sentenc
 
     kinds = keyed.select(article, "_kind").distinct()
     asked_of = salted_join(revisions, kinds, [article], [when]).select(article, when, "_kind", text)
-    n_letters = F.length(text) + F.col("_kind") + 1
+    # words and letters become columns of their own before the positions read them: a text is split once
+    split = asked_of.select(article, when, "_kind", F.split(text, " ").alias("_words"),
+                            F.when(F.col("_kind") < 0, F.split(text, "")).alias("_letters"))
+    words = F.col("_words")
+    n_letters = F.size("_letters") + F.col("_kind") + 1
     letter_starts = F.when(n_letters > 0, F.sequence(F.lit(1), n_letters)).otherwise(F.array().cast("array<int>"))
-    by_letters = F.array_distinct(F.transform(letter_starts, lambda i: F.substring(F.col(text), i, F.abs("_kind"))))
-    words = F.split(text, " ")
+    by_letters = F.array_distinct(F.transform(letter_starts, lambda i: F.array_join(F.slice("_letters", i, F.abs("_kind")), "")))
     grams = F.when(F.col("_kind") == 3, _word_anchors(words, 3)).when(F.col("_kind") == 2, _word_anchors(words, 2)).when(
         F.col("_kind") == 1, F.array_distinct(words)).otherwise(by_letters)
-    anchored = asked_of.select(article, when, "_kind", F.explode(grams).alias("_anchor"))
+    anchored = split.select(article, when, "_kind", F.explode(grams).alias("_anchor"))
 
     hits = salted_join(anchored, keyed, [article, "_kind", "_anchor"], [when]).select(article, when, sentence)
     wanted = revisions.select(article, when, text, *keep)

@@ -27,7 +27,9 @@ def reused_spans(current: DataFrame, key: str, text: str, prior: DataFrame, prio
     Positions count words from 0. The window runs over the matched positions of
     one text, so it is no larger than the text in a single input row.
     """
-    known = prior.select(F.explode(ngrams(tokens(F.col(prior_text)), n)).alias("_gram")).distinct()
+    # the words are a column of their own, read by every position, so a text is split once
+    split = prior.select(tokens(F.col(prior_text)).alias("_prior"))
+    known = split.select(F.explode(ngrams(F.col("_prior"), n)).alias("_gram")).distinct()
     words = current.select(key, tokens(F.col(text)).alias("_words"))
     grams = words.select(key, F.posexplode(ngrams(F.col("_words"), n)).alias("_pos", "_gram"))
     hits = salted_join(grams, known, ["_gram"], [key, "_pos"], "left_semi", growth=n + 1).select(key, "_pos")

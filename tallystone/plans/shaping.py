@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import dates, numbers, scoring, text
 from tallystone.functions.nulls import cents
+from tallystone.functions.text import pad_zeros
 from tallystone.operators import joins, shape
 from tallystone.operators.aggregate import counts_by
 from tallystone.operators.skew import salted_join
@@ -17,12 +18,12 @@ GENERIC_SQL = ", ".join(map(str, scoring.GENERIC_GROUPS))
 
 
 @query("mixed_geo_filter", """
-with c as (select c_custkey, lpad(n_regionkey::varchar, 2, '0') || lpad(n_nationkey::varchar, 2, '0') || lpad((c_custkey % 100)::varchar, 2, '0') geo
+with c as (select c_custkey, case when n_regionkey < 10 then '0' else '' end || n_regionkey || case when n_nationkey < 10 then '0' else '' end || n_nationkey || lpad((c_custkey % 100)::varchar, 2, '0') geo
   from customer join nation on c_nationkey = n_nationkey)
 select * from c where geo like '03%' or geo like '0106%' or geo in ('020205', '000512', '021342')
 """)
 def mixed_geo_filter(t):
-    pad = lambda c: F.lpad(c.cast("string"), 2, "0")
+    pad = lambda c: pad_zeros(c, 2)
     geo = F.concat(pad(F.col("n_regionkey")), pad(F.col("n_nationkey")), pad(F.col("c_custkey") % 100))
     df = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", geo.alias("geo"))
     return df.where(shape.in_areas(F.col("geo"), ["3", "0106", "020205", "000512", "021342"]))
@@ -347,7 +348,7 @@ def code_remap_join(t):
 
 
 @query("composite_key_attach", """
-select lpad(l_orderkey::varchar, 10, '0') || '_' || l_linenumber line_key, l_partkey, o_orderstatus, o_orderpriority
+select case when length(l_orderkey::varchar) < 10 then lpad(l_orderkey::varchar, 10, '0') else l_orderkey::varchar end || '_' || l_linenumber line_key, l_partkey, o_orderstatus, o_orderpriority
 from lineitem left join orders on l_orderkey = o_orderkey
 """)
 def composite_key_attach(t):
@@ -355,7 +356,7 @@ def composite_key_attach(t):
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
     attrs = joins.assert_unique(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_orderpriority"), ["l_orderkey"])
     joined = salted_join(lines, attrs, ["l_orderkey"], ["l_linenumber", "l_partkey"], "left")
-    key = F.concat_ws("_", F.lpad(F.col("l_orderkey").cast("string"), 10, "0"), F.col("l_linenumber").cast("string"))
+    key = F.concat_ws("_", pad_zeros(F.col("l_orderkey"), 10), F.col("l_linenumber").cast("string"))
     return joined.select(key.alias("line_key"), "l_partkey", "o_orderstatus", "o_orderpriority")
 
 

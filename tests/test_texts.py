@@ -87,8 +87,8 @@ def test_nested_templates_and_counts(spark):
            "{{Citation|author=Solo Name|chapter=Ch|title=Book|date=May 1999}}{{harvc|c=x}}")
     df = spark.createDataFrame([(1, raw)], "k int, t string")
     r = df.select(wt.infobox(F.col("t")).alias("b"), wt.count_refs(F.col("t")).alias("s"), wt.count_refs(F.col("t"), strict=False).alias("c"),
-                  wt.count_citations(F.col("t")).alias("n"), wt.too_deep(F.col("t")).alias("d")).first()
-    assert r.b["name"] == "Last" and r.b["empty"] is None and (r.s, r.c, r.n, r.d) == (2, 3, 1, False)
+                  wt.count_citations(F.col("t")).alias("n")).first()
+    assert r.b["name"] == "Last" and r.b["empty"] is None and (r.s, r.c, r.n) == (2, 3, 1)
     refs = {x.template_name: x for x in wt.reference_table(df, "k", "t").collect()}
     j = refs["cite journal"]
     assert (j.itemType, j.title, j.pages) == ("journalArticle", "T | U", "3-4")
@@ -98,9 +98,18 @@ def test_nested_templates_and_counts(spark):
     assert refs["harvc"].itemType == "bookSection"
 
 
-def test_depth_beyond_the_limit_is_reported(spark):
-    deep = "{{a|" * 7 + "x" + "}}" * 7
-    assert spark.createDataFrame([(deep,)], "t string").select(wt.too_deep(F.col("t"))).first()[0] is True
+def test_any_depth_and_any_number_of_authors(spark):
+    deep = "{{a|" * 12 + "x" + "}}" * 12
+    people = "".join(f"|last{i}=L{i}|first{i}=F{i}" for i in range(1, 15))
+    raw = f"see {{{{cite book|title=T {deep} end{people}|note=[[a|b]]}}}} {{{{Infobox x\n|v={deep}\n|n={{{{nowrap|{{{{flag|Peru}}}}}}}}}}}} {{{{ open"
+    df = spark.createDataFrame([(1, raw), (2, None)], "k int, t string")
+    row = wt.reference_table(df, "k", "t").collect()
+    assert len(row) == 1 and row[0].title == "T x end"
+    assert [c.lastName for c in row[0].creators] == [f"L{i}" for i in range(1, 15)]
+    boxes = {r.k: r.b for r in df.select("k", wt.infobox(F.col("t")).alias("b")).collect()}
+    assert boxes == {1: {"v": None, "n": "Peru"}, 2: None}
+    plain = df.where("k = 1").select(wt.without_templates(F.col("t")).alias("p")).first().p
+    assert plain == "see   {{ open"
 
 
 def test_localized_names(spark):
@@ -148,3 +157,34 @@ def test_overlay_statuses(spark):
 @pytest.mark.parametrize("value,want", [("{{lang|fr|Bon}}", "Bon"), ("{{nowrap|x y}}", "x y"), ("''it''", "it"), ("[[A|b]] [[C]]", "b C"), ("  ", None)])
 def test_clean_wiki(spark, value, want):
     assert spark.createDataFrame([(value,)], "t string").select(wt.clean_wiki(F.col("t"))).first()[0] == want
+
+
+def test_latin_folding(spark):
+    from tallystone.functions import text
+
+    pairs = [("Škoda", "Skoda"), ("Łódź", "Lodz"), ("Ğ", "G"), ("ő", "o"), ("Þór", "THor"), ("e\u0301te\u0301", "ete"), ("Ŵǆ", "wdz"), ("ẞ", "ss")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(text.equivalent(F.col("a"), F.col("b")).alias("same")).collect()
+    assert all(r.same for r in rows)
+    kept = spark.createDataFrame([("Ёй か",)], "a string").select(text.fold_accents(F.col("a")).alias("x")).first().x
+    assert kept == "Ёй か"
+
+
+def test_padding_never_cuts(spark):
+    from tallystone.functions.text import pad_zeros
+
+    rows = spark.createDataFrame([("7",), ("12345-6789",), (None,)], "z string").select(pad_zeros(F.col("z"), 5).alias("z")).collect()
+    assert [r.z for r in rows] == ["00007", "12345-6789", None]
+
+
+def test_long_texts_are_split_once(spark):
+    import time
+
+    from tallystone.operators import reuse
+
+    took = []
+    for n in (4_000, 16_000):
+        long = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)))], "k int, t string")
+        start = time.perf_counter()
+        assert reuse.reused_spans(long, "k", "t", long, "t").collect()[0].n_words == n
+        took.append(time.perf_counter() - start)
+    assert took[1] < 12
