@@ -20,10 +20,12 @@ rows that share an id are ordered by their text; an empty table writes no file.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,9 @@ from tallystone.session import checkpoint_folder
 
 END_ID = 1
 TASK_BYTES = 16 << 20
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 500_000
+# words end in these without changing how their letters are encoded: the tokenizer splits letters from other marks
+_CLOSING = b".,;:!?*$%&#|"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -68,7 +72,9 @@ def unpack(data: bytes | memoryview, offset: int) -> bytes:
 class WordEncoder:
     """Encodes texts word by word with a tokenizer that drops white space and never joins words across it.
 
-    Words seen before come from a bounded table; new ones are encoded in one batch.
+    Words seen before come from a bounded table. A new word of letters and closing marks is put together from
+    a second bounded table of letter runs (lower-cased where they are ASCII, as the tokenizer lower-cases) and marks;
+    what neither table has is encoded in one batch.
     """
 
     def __init__(self, path: str):
@@ -76,12 +82,31 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.dtype = f"<u{self.width}"
+        self.dtype, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.runs: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Add new words to the table."""
+        parts = []
+        for w in new:
+            core = w.rstrip(_CLOSING)
+            if core.isalpha():
+                parts.append((core.lower(), w[len(core):]))
+            elif core and core.decode().lower().isalpha():  # a letter that lower-cases to a letter and a mark joins what follows
+                parts.append((core, w[len(core):]))
+            else:
+                parts.append((w, b""))
+        if len(self.runs) > _CACHE_WORDS:
+            self.runs.clear()
+        runs = self.runs
+        lacking = list({x for p in parts for x in p}.difference(runs))
+        runs.update(zip(lacking, self._ids([x.decode() for x in lacking]), strict=True))
+        self.known.update(zip(new, (runs[a] + runs[b] for a, b in parts), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each UTF-8 text, without special tokens added, as little-endian bytes."""
@@ -89,15 +114,21 @@ class WordEncoder:
             self.known.clear()
         # the string of a special token is matched before words are split: such a text is encoded whole
         split = [None if b"<" in t and any(s in t.lower() for s in self.special) else t.split() for t in texts]
-        new = list({w for words in split if words for w in words}.difference(self.known))
-        self.known.update(zip(new, self._ids([w.decode() for w in new]), strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) if words is not None else self._ids([t.decode()])[0]
-                for t, words in zip(texts, split, strict=True)]
+        get = self.known.get
+        found = [words and list(map(get, words)) for words in split]
+        missing = [(words, ids) for words, ids in zip(split, found, strict=True) if ids and None in ids]
+        self._learn(list({w for words, ids in missing for w, x in zip(words, ids, strict=True) if x is None}))
+        for words, ids in missing:
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                ids[at] = get(words[at])
+        return [self._ids([t.decode()])[0] if words is None else b"".join(ids) for t, words, ids in zip(texts, split, found, strict=True)]
 
 
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
 
