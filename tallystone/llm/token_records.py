@@ -40,7 +40,7 @@ from tallystone.session import checkpoint_folder
 
 END_ID = 1
 TASK_BYTES = 16 << 20
-_CACHE_WORDS = 500_000
+_CACHE_WORDS, _CACHE_RUNS = 600_000, 1_000_000
 # words end in these without changing how their letters are encoded: the tokenizer splits letters from other marks
 _CLOSING = b".,;:!?*$%&#|"
 _encoders: dict[str, "WordEncoder"] = {}
@@ -94,6 +94,9 @@ class WordEncoder:
         """Add new words to the table."""
         parts = []
         for w in new:
+            if w.isalpha():
+                parts.append((w.lower(), b""))
+                continue
             core = w.rstrip(_CLOSING)
             if core.isalpha():
                 parts.append((core.lower(), w[len(core):]))
@@ -101,7 +104,7 @@ class WordEncoder:
                 parts.append((core, w[len(core):]))
             else:
                 parts.append((w, b""))
-        if len(self.runs) > _CACHE_WORDS:
+        if len(self.runs) > _CACHE_RUNS:
             self.runs.clear()
         runs = self.runs
         lacking = list({x for p in parts for x in p}.difference(runs))
