@@ -272,9 +272,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     names = docs.columns
     full = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own_id, own_text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
-    full = full.withColumn("_node", F.unhex(F.md5(own_text)))
-    stay = kept.select(F.col("class_id").alias("_id"), F.col("node").alias("_kept"))
+    # one key for the join and for repeated rows, so that the texts are shuffled once
+    full = full.withColumn("_key", F.struct(F.col(own_id).alias("id"), F.unhex(F.md5(own_text)).alias("node")))
+    stay = kept.select(F.struct(F.col("class_id").alias("id"), "node").alias("_key"))
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = (full.join(stay, F.col(own_id).eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_kept")))
-           .dropDuplicates(["_id", "_kept"]))
+    one = full.join(stay, "_key").dropDuplicates(["_key"])
     return one.select([f"c{i}" for i in range(len(names))]).toDF(*names).unionByName(docs.where(wordless))
