@@ -7,27 +7,32 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def profile_columns(tables: Mapping[str, DataFrame], pattern: str, flags: Sequence[str]) -> DataFrame:
     """Columns whose name matches, over several tables: type, does any value contain each flag text, three samples.
 
-    One aggregation per table. Samples are the least values, kept in a bounded
-    heap by the aggregate, not the first rows, so that they are stable.
+    Each table is read once: its matching columns become rows of (column, text), counted per
+    distinct text; the facts and the samples read those counts. Samples are the least values,
+    of which Spark keeps three per task before it shuffles, so that they are stable.
     """
     out = []
     for name, df in tables.items():
-        for column, kind in df.dtypes:
-            if not re.search(pattern, column):
-                continue
-            text = F.col(column).cast("string")
-            samples = df.where(F.col(column).isNotNull()).select(text.alias("s")).distinct().orderBy("s").limit(3).agg(
-                F.array_join(F.array_sort(F.collect_list("s")), " | ").alias("sample_values"))
-            facts = df.agg(F.count(column).alias("n_values"), *[
-                F.coalesce(F.bool_or(text.contains(f)), F.lit(False)).alias(f"has_{f}") for f in flags])
-            out.append(facts.select(F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), F.lit(kind).alias("column_type"),
-                                    "*", samples.scalar().alias("sample_values")))
+        kinds = [(i, name, c, k) for i, (c, k) in enumerate(df.dtypes) if re.search(pattern, c)]
+        if not kinds:
+            continue
+        columns = df.sparkSession.createDataFrame(kinds, "_i int, table_name string, column_name string, column_type string")
+        cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast("string").alias("s")) for i, _, c, _ in kinds])
+        texts = df.select(F.explode(cells).alias("_v")).groupBy("_v._i", "_v.s").agg(F.count("_v.s").alias("n"))
+        facts = texts.groupBy("_i").agg(F.sum("n").alias("n_values"), *[F.bool_or(F.col("s").contains(f)).alias(f"has_{f}") for f in flags])
+        least = texts.where(F.col("s").isNotNull()).withColumn("k", F.row_number().over(W.partitionBy("_i").orderBy("s"))).where("k <= 3")
+        samples = least.groupBy("_i").agg(F.array_join(F.array_sort(F.collect_list("s")), " | ").alias("sample_values"))
+        out.append(columns.join(facts, "_i", "left").join(samples, "_i", "left").select(
+            "table_name", "column_name", "column_type", F.coalesce("n_values", F.lit(0).cast("long")).alias("n_values"),
+            *[F.coalesce(f"has_{f}", F.lit(False)).alias(f"has_{f}") for f in flags],
+            F.coalesce("sample_values", F.lit("")).alias("sample_values")))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 

@@ -378,7 +378,9 @@ order by abs(b - a) desc, l_partkey limit 20
 def top_abs_change(t):
     """The twenty largest changes between two years, in either direction."""
     q = cents(F.col("l_quantity"))
-    years = t.lineitem.groupBy("l_partkey").agg(*[
+    day = F.col("l_shipdate")
+    two = t.lineitem.where((day >= F.lit("1998-01-01").cast("date")) & (day < F.lit("2000-01-01").cast("date")))
+    years = two.groupBy("l_partkey").agg(*[
         F.sum(F.when(F.year("l_shipdate") == y, q)).cast("double").alias(c) for y, c in ((1998, "a"), (1999, "b"))])
     change = years.where("a is not null and b is not null").select("l_partkey", (F.col("b") - F.col("a")).alias("change"))
     return change.orderBy(F.abs("change").desc(), "l_partkey").limit(20)

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tallystone.session import local_session  # noqa: E402
+from tallystone.session import drop_written, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark():
     session = local_session(4, memory="6g", name="tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_written(session)
     session.stop()
