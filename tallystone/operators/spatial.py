@@ -6,11 +6,13 @@ included. Coordinates are treated as planar.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.functions.outlines import boundaries_touch
 from tallystone.operators.skew import salted_join
 from tallystone.session import cut_lineage
 
@@ -134,10 +136,35 @@ def assign_points(points: DataFrame, point: str, x: str, y: str, polygons: DataF
         near.select(point, polygon, F.lit("nearest").alias("how")))
 
 
-def touching(polygons: DataFrame, polygon: str, rings: str, digits: int = 9) -> DataFrame:
-    """Pairs of polygons that share a corner or an edge."""
-    corners = polygons.select(polygon, F.explode(F.flatten(F.col(rings))).alias("_p")).select(
-        polygon, F.round("_p.lon", digits).alias("_x"), F.round("_p.lat", digits).alias("_y")).distinct()
-    other = corners.withColumnRenamed(polygon, "_other")
-    pairs = corners.join(other, ["_x", "_y"]).where(F.col(polygon) < F.col("_other"))
-    return pairs.select(F.col(polygon).alias("poly_a"), F.col("_other").alias("poly_b")).distinct()
+def touching(polygons: DataFrame, polygon: str, rings: str, cell: float, digits: int = 9) -> DataFrame:
+    """Pairs of polygons whose boundaries share a point (within ``10**-digits``) and whose interiors do not meet.
+
+    Candidates are pairs with edges whose boxes meet in a grid cell of width ``cell``. They are settled on
+    their edges: each edge is cut where the other boundary meets it, and no piece may lie inside the other.
+    """
+    eps = 10.0**-digits
+    shapes = polygons.select(polygon, ring_edges(F.col(rings)).alias("_edges"))
+    edges = shapes.select(polygon, F.explode("_edges").alias("_e")).select(
+        polygon, *[f(f"_e.{c}1", f"_e.{c}2").alias(f"_{c}{n}") for c in "xy" for n, f in (("lo", F.least), ("hi", F.greatest))])
+
+    def cells(c: str) -> Column:
+        return F.sequence(_cell(F.col(f"_{c}lo") - eps, cell), _cell(F.col(f"_{c}hi") + eps, cell))
+
+    placed = edges.withColumn("_cx", F.explode(cells("x"))).withColumn("_cy", F.explode(cells("y")))
+    other = placed.select("_cx", "_cy", F.col(polygon).alias("poly_b"), *[F.col(f"_{c}{n}").alias(f"_b{c}{n}") for c in "xy" for n in ("lo", "hi")])
+    boxes = F.lit(True)
+    for c in "xy":
+        boxes = boxes & (F.col(f"_{c}lo") <= F.col(f"_b{c}hi") + eps) & (F.col(f"_b{c}lo") <= F.col(f"_{c}hi") + eps)
+    pairs = placed.join(other.hint("merge"), ["_cx", "_cy"]).where((F.col(polygon) < F.col("poly_b")) & boxes).select(
+        F.col(polygon).alias("poly_a"), "poly_b").distinct()
+    flat = shapes.select(polygon, F.flatten(F.transform("_edges", lambda e: F.array(
+        *[e[c].cast("double") for c in ("x1", "y1", "x2", "y2")]))).alias("_flat"))
+    both = pairs.join(flat.select(F.col(polygon).alias("poly_a"), F.col("_flat").alias("_a")), "poly_a").join(
+        flat.select(F.col(polygon).alias("poly_b"), F.col("_flat").alias("_b")), "poly_b")
+    kind = shapes.schema[polygon].dataType.simpleString()
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.loc[boundaries_touch(list(batch["_a"]), list(batch["_b"]), eps), ["poly_a", "poly_b"]]
+
+    return both.select("poly_a", "poly_b", "_a", "_b").mapInPandas(settle, f"poly_a {kind}, poly_b {kind}")

@@ -70,4 +70,18 @@ def adjacent_polygons(t):
     x, y = (F.col("p_partkey") % 40).cast("double"), F.floor(F.col("p_partkey") / 40).cast("double")
     corner = lambda i, j: F.struct((x + i).alias("lon"), (y + j).alias("lat"))
     squares = t.part.select(F.col("p_partkey").alias("poly"), F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))).alias("rings"))
-    return spatial.touching(squares, "poly", "rings")
+    return spatial.touching(squares, "poly", "rings", 1.0)
+
+
+@query("touching_rectangles", """
+with s as (select p_partkey k, (p_partkey % 40)::double x, (p_partkey // 40)::double y, 0.5 * (1 + p_size % 3) w, 0.5 * (1 + p_partkey % 3) h from part)
+select a.k poly_a, b.k poly_b from s a join s b on a.k < b.k and a.x <= b.x + b.w and b.x <= a.x + a.w and a.y <= b.y + b.h and b.y <= a.y + a.h
+  and not (a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h)
+""")
+def touching_rectangles(t):
+    """Rectangles of unequal size: some touch at a corner or in the middle of a side, some overlap."""
+    x, y = (F.col("p_partkey") % 40).cast("double"), F.floor(F.col("p_partkey") / 40).cast("double")
+    w, h = (F.col("p_size") % 3 + 1) * 0.5, (F.col("p_partkey") % 3 + 1) * 0.5
+    corner = lambda i, j: F.struct((x + w * i).alias("lon"), (y + h * j).alias("lat"))
+    shapes = t.part.select(F.col("p_partkey").alias("poly"), F.array(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1))).alias("rings"))
+    return spatial.touching(shapes, "poly", "rings", 1.0)

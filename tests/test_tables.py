@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,7 +193,7 @@ def test_holes_edges_and_corners(spark):
     pts = spark.createDataFrame([(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 4.0, 1.0), (4, 5.0, 1.0), (5, 9.0, 9.0)], "k int, x double, y double")
     got = {r.k: r.p for r in spatial.points_in_polygons(pts, "k", "x", "y", polys, "p", "rings", 1.0).collect()}
     assert got == {1: 1, 4: 2}
-    assert [tuple(r) for r in spatial.touching(polys, "p", "rings").collect()] == [(1, 2)]
+    assert [tuple(r) for r in spatial.touching(polys, "p", "rings", 1.0).collect()] == [(1, 2)]
 
 
 def test_parent_links(spark):
@@ -249,3 +250,28 @@ def test_dictionary_and_presence(spark):
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     got = {r.variable_name: r.state for r in quality.data_dictionary(df, {"a": "first", "z": "gone"}).collect()}
     assert got == {"a": "described", "b": "no description", "z": "no such variable"}
+
+
+def test_outlines_touch_without_common_area():
+    from tallystone.functions.outlines import boundaries_touch
+
+    def box(*boxes):
+        return np.array([v for x, y, w, h in boxes for a, b, c, d in [
+            (x, y, x + w, y), (x + w, y, x + w, y + h), (x + w, y + h, x, y + h), (x, y + h, x, y)] for v in (a, b, c, d)], float)
+
+    big = box((0, 0, 4, 4))
+    cases = [
+        (box((4, 1, 2, 1)), True),  # a side on the middle of a side
+        (box((4, 4, 1, 1)), True),  # a corner
+        (box((0, 0, 1, 1)), False),  # inside, with a common corner
+        (box((3, 3, 2, 2)), False),  # overlap
+        (box((1, 1, 1, 1)), False),  # inside
+        (box((5, 0, 1, 1)), False),  # apart
+        (big, False),  # the same
+        (np.zeros(0), False),
+    ]
+    got = boundaries_touch([big] * len(cases), [b for b, _ in cases], 1e-9)
+    assert got.tolist() == [want for _, want in cases]
+    assert boundaries_touch([b for b, _ in cases], [big] * len(cases), 1e-9).tolist() == got.tolist()
+    # a polygon that fills another's hole touches it
+    assert boundaries_touch([box((0, 0, 4, 4), (1, 1, 1, 1))], [box((1, 1, 1, 1))], 1e-9).tolist() == [True]
