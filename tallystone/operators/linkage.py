@@ -130,11 +130,24 @@ def resolve(records: DataFrame, record: str, ident: str, stages: Mapping[str, St
         {"_status": "match_status", "_ident": ident})
 
 
-def rounds(records: DataFrame, record: str, matchers: Mapping[str, DataFrame], ident: str) -> DataFrame:
-    """Earliest round that matched each record; ``matchers`` hold (record, ident) per round."""
-    found = None
-    for i, (name, df) in enumerate(matchers.items()):
-        tagged = df.select(record, F.struct(F.lit(i).alias("i"), F.col(ident).alias("id"), F.lit(name).alias("name")).alias("_m"))
-        found = tagged if found is None else found.unionByName(tagged)
-    best = found.groupBy(record).agg(F.min("_m").alias("_m"))
-    return records.join(best, record, "left").withColumns({ident: F.col("_m.id"), "round": F.col("_m.name")}).drop("_m")
+def rounds(records: DataFrame, record: str, matchers: Mapping[str, Callable[[DataFrame], DataFrame]], ident: str,
+           dropped: DataFrame | None = None) -> DataFrame:
+    """Match and ``round`` of every record; each round sees only what the rounds before it left.
+
+    A matcher maps the open records to (record, ident) rows; the least ident of a record counts.
+    Records of the drop-list are in no round and not in the result.
+    """
+    records = records if dropped is None else records.join(dropped.select(record), record, "left_anti")
+    open_records, done = records, None
+    for name, match in matchers.items():
+        open_records = cut_lineage(open_records)
+        found = cut_lineage(match(open_records).groupBy(record).agg(F.min(ident).alias(ident)).withColumn("round", F.lit(name)))
+        done = found if done is None else done.unionByName(found)
+        open_records = open_records.join(found, record, "left_anti")
+    return records.join(done, record, "left")
+
+
+def coverage(matched: DataFrame) -> DataFrame:
+    """Records per round (NULL: none) and their share of all records, in per cent."""
+    counts = matched.groupBy("round").agg(F.count("*").alias("n"))
+    return counts.withColumn("pct", F.bround(100 * F.col("n") / matched.agg(F.count("*")).scalar(), 2))

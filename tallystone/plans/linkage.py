@@ -290,26 +290,43 @@ def reverse_status(t):
                        F.least("ra", "rb").alias("first_record"), F.coalesce("b", zero).alias("n_open"))
 
 
-@query("matching_rounds", """
+ROUNDS_SQL = """
 with d as (select s_suppkey, case when s_suppkey % 4 = 0 then n_name when s_suppkey % 4 = 1 then 'Greater ' || n_name when s_suppkey % 4 = 2 then 'X' || s_suppkey else 'Manual' || n_nationkey end label, n_nationkey, n_regionkey
   from supplier join nation on s_nationkey = n_nationkey)
-select s_suppkey, case when s_suppkey % 4 = 2 then null else n_nationkey end n_nationkey,
-  case s_suppkey % 4 when 0 then 'exact' when 1 then 'stripped' when 3 then 'manual' end round from d
-""")
-def matching_rounds(t):
-    """Labels matched in rounds on what is left: exact, affix stripped, then a manual list."""
+"""
+
+
+def _match_in_rounds(t, dropped=None):
     k = F.col("s_suppkey") % 4
     d = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey", (
         F.when(k == 0, F.col("n_name")).when(k == 1, F.concat(F.lit("Greater "), "n_name"))
         .when(k == 2, F.concat(F.lit("X"), "s_suppkey")).otherwise(F.concat(F.lit("Manual"), "n_nationkey"))).alias("label"))
-    names = t.nation.select("n_nationkey", F.col("n_regionkey"), F.col("n_name").alias("key"))
+    names = t.nation.select("n_nationkey", "n_regionkey", F.col("n_name").alias("label"))
     manual = t.nation.select("n_nationkey", F.concat(F.lit("Manual"), "n_nationkey").alias("label"))
-    exact = d.join(names, (d.label == names.key) & (d.n_regionkey == names.n_regionkey))
-    stripped = d.withColumn("short", F.regexp_replace("label", "^(Greater|Lower) ", ""))
-    stripped = stripped.join(names, (stripped.short == names.key) & (stripped.n_regionkey == names.n_regionkey))
-    return linkage.rounds(d.select("s_suppkey"), "s_suppkey", {
-        "exact": exact.select("s_suppkey", "n_nationkey"), "stripped": stripped.select("s_suppkey", "n_nationkey"),
-        "manual": d.join(manual, "label").select("s_suppkey", "n_nationkey")}, "n_nationkey")
+    short = F.regexp_replace("label", "^(Greater|Lower) ", "")
+    return linkage.rounds(d, "s_suppkey", {
+        "exact": lambda r: r.join(names, ["label", "n_regionkey"]),
+        "stripped": lambda r: r.withColumn("label", short).join(names, ["label", "n_regionkey"]),
+        "manual": lambda r: r.join(manual, "label")}, "n_nationkey", dropped)
+
+
+@query("matching_rounds", ROUNDS_SQL + """
+select s_suppkey, case when s_suppkey % 4 = 2 then null else n_nationkey end n_nationkey,
+  case s_suppkey % 4 when 0 then 'exact' when 1 then 'stripped' when 3 then 'manual' end round from d
+""")
+def matching_rounds(t):
+    """Labels matched in rounds on what is left: exact, affix stripped, then a manual list."""
+    return _match_in_rounds(t).select("s_suppkey", "n_nationkey", "round")
+
+
+@query("matching_coverage", ROUNDS_SQL + """
+, m as (select case s_suppkey % 4 when 0 then 'exact' when 1 then 'stripped' when 3 then 'manual' end round from d where s_suppkey % 10 <> 7)
+select round, count(*) n, round_even(100 * count(*) / (select count(*) from m), 2) pct from m group by 1
+""")
+def matching_coverage(t):
+    """What each round matched, after a drop-list."""
+    dropped = t.supplier.where(F.col("s_suppkey") % 10 == 7).select("s_suppkey")
+    return linkage.coverage(_match_in_rounds(t, dropped))
 
 
 @query("region_fallback", """
