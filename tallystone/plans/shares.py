@@ -228,6 +228,25 @@ def weighted_distribution(t):
                       est.alias("est_count"), (F.col("n_region") - est).alias("complement"))
 
 
+@query("threshold_totals", """
+with c as (select n_regionkey, c_mktsegment, sum(cast(abs(c_acctbal) as decimal(18,2)))::double w, count(*) n
+  from customer join nation on c_nationkey = n_nationkey group by all),
+s as (select *, round_even(w * 100.0 / sum(w) over (partition by n_regionkey), 1) pct, sum(n) over (partition by n_regionkey) n_region from c),
+e as (select pct, n_region::bigint n_region, cast(round_even(n_region * pct / 100, 0) as bigint) est from s),
+t as (select "at", pct >= "at" reached, n_region, est from e, (select unnest([18.0, 20.0, 22.0])::double "at")),
+u as (select "at", reached, 'counted' status, sum(est)::bigint n from t group by all union all select "at", reached, 'complement', sum(n_region - est)::bigint from t group by all)
+select "at" threshold, reached, status, n, round_even(100.0 * n / sum(n) over (partition by "at"), 2) pct from u
+""")
+def threshold_totals(t):
+    """Totals of the implied counts by threshold and status, in numbers and per cent of the threshold's total."""
+    cells = weighted_distribution(t)
+    reached = cells.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (18.0, 20.0, 22.0)]))).groupBy(
+        "threshold", (F.col("pct") >= F.col("threshold")).alias("reached")).agg(
+        F.sum("est_count").alias("counted"), F.sum("complement").alias("complement"))
+    totals = reached.unpivot(["threshold", "reached"], ["counted", "complement"], "status", "n")
+    return agg.shares(totals, "n", ["threshold"], out="pct", scale=100.0).withColumn("pct", F.bround("pct", 2))
+
+
 @query("region_year_totals", """
 with f as (select r_name, cast(year(l_shipdate) as int) y, sum(cast(l_quantity as decimal(18,2)))::double total
   from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
