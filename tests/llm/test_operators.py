@@ -154,6 +154,47 @@ def test_license_scan_against_all_templates(spark, edges, nothing):
     assert scan_licenses(edges).count() == len(EDGES) and scan_licenses(nothing).count() == 0
 
 
+def test_license_scan_finds_notices_inside_other_words(spark):
+    rows = [
+        ("Copyright (c) 2020 The Authors. Licensed under the Apache License, Version 2.0.", {"Apache-2.0": 1}),
+        ("Copyright 2024 Foo Inc. All rights reserved.", {"Proprietary": 1}),
+        ("This article is licensed under CC BY-NC 4.0. See the site for details.", {"CC-BY-NC-4.0": 1}),
+        (f"{BASE} released under the MIT License {BASE} licensed under CC BY-SA 4.0 {BASE}", {"MIT": 1, "CC-BY-SA-4.0": 1}),
+        (f"{BASE}. This work is licensed under the GNU General Public License, version 2. {BASE}", {"GPL-2.0": 1}),
+        *[(f"{n} License\n\nCopyright (c) 2020 The Authors\n\n{TEMPLATES[n][-1]}", {n: 1}) for n in ("MIT", "BSD-3-Clause", "ISC", "Unlicense")],
+        (f"{BASE}\n \t\nAll rights\nreserved.\n\r\n{BASE}", {"Proprietary": 1}),
+        ("all rights reserved " * 500, {"Proprietary": 1}), ("all rights were reserved", {}), (BASE, {}), (None, {}),
+    ]
+    got = scan_licenses(docs_frame(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()
+    assert {r["doc_id"]: {x["license"]: x["dice"] for x in r["_licenses"]} for r in got} == {i: w for i, (_, w) in enumerate(rows)}
+
+
+def test_license_runs_against_all_runs(spark):
+    templates = {"one": ["a b c d e", "b c"], "two": ["a b c x e f g"]}
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join("abcdefgxy"[int(x)] for x in rng.integers(0, 5 + i % 5, 30))) for i in range(60)]
+
+    def grams(w):
+        return set(zip(w, w[1:], strict=False))
+
+    def best(text, names):
+        w, most = text.split(), {}
+        for n in names:
+            for t in templates[n]:
+                b = grams(t.split())
+                dice = [2 * len(a & b) / (len(a) + len(b)) for i in range(len(w)) for j in range(i + 2, len(w) + 1) for a in [grams(w[i:j])]]
+                most[n] = max([d for d in dice if d >= 0.8] + [most.get(n, 0)])
+        return {n: d for n, d in most.items() if d}
+
+    for name in templates:  # each licence alone: nothing overlaps
+        got = scan_licenses(docs_frame(spark, rows), templates={name: templates[name]}).collect()
+        assert {r["doc_id"]: {x["license"]: pytest.approx(x["dice"]) for x in r["_licenses"]} for r in got} == {i: best(t, [name]) for i, t in rows}
+    for r in scan_licenses(docs_frame(spark, rows), templates=templates).collect():
+        want = best(r["text"], templates)
+        have = {x["license"]: x["dice"] for x in r["_licenses"]}
+        assert set(have) <= set(want) and max(have.values(), default=0) == pytest.approx(max(want.values(), default=0))
+
+
 # 4
 def test_containment_against_brute_force(spark, edges, nothing):
     rng = np.random.default_rng(1)
