@@ -207,11 +207,8 @@ def _hang(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[new], node[new], links
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """``id``, ``node`` (hash of the text), ``class_id`` (least id of the class) and ``n_links``, per row of ``docs``.
-
-    ``n_links`` counts the other texts (copies once) of the given similarity on sets of five-word shingles.
-    """
+def _rooted(docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+    """``id``, ``node`` (hash of the text), ``some`` (has words), ``root`` (least node of the class; null without words) and ``n_links``, per row."""
     spark = docs.sparkSession
     keyed = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body"), F.unhex(F.md5(text)).alias("node"))
     kind = dict(keyed.dtypes)["id"]
@@ -257,8 +254,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = groups(found, "node", "root")
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     node_class = classes.join(links, "node", "left").select("node", "root", "n_links")
-    rows = signed.select("id", "node", (F.col("size") > 0).alias("some")).join(node_class, "node", "left").withColumn(
+    return signed.select("id", "node", (F.col("size") > 0).alias("some")).join(node_class, "node", "left").withColumn(
         "root", F.when(F.col("some"), F.coalesce("root", "node")))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+    """``id``, ``node`` (hash of the text), ``class_id`` (least id of the class) and ``n_links``, per row of ``docs``.
+
+    ``n_links`` counts the other texts (copies once) of the given similarity on sets of five-word shingles.
+    Classes may share their ``class_id`` where ids are null or repeated.
+    """
+    rows = _rooted(docs, doc_id, text, threshold)
     named = rows.where("some").groupBy("root").agg(F.min("id").alias("class_id"))
     return rows.join(named, "root", "left").select(
         "id", "node", F.when(F.col("some"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"),
@@ -266,15 +272,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with one document left of each class: its least id (one row of it). Texts without words stay."""
-    found = near_duplicates(docs, doc_id, text, threshold)
-    kept = found.where("some and id <=> class_id").groupBy("class_id").agg(F.min("node").alias("node"))
+    """The rows of ``docs`` with one document left of each class: its least id (one row of it). Texts without words stay.
+
+    Unrelated texts without an id, or with the same one, are classes of their own.
+    """
+    found = _rooted(docs, doc_id, text, threshold).where("some")
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("least"))
     names = docs.columns
     full = docs.toDF(*[f"c{i}" for i in range(len(names))])
     own_id, own_text = f"c{names.index(doc_id)}", f"c{names.index(text)}"
     # one key for the join and for repeated rows, so that the texts are shuffled once
     full = full.withColumn("_key", F.struct(F.col(own_id).alias("id"), F.unhex(F.md5(own_text)).alias("node")))
-    stay = kept.select(F.struct(F.col("class_id").alias("id"), "node").alias("_key"))
+    stay = kept.select(F.struct("least.id", "least.node").alias("_key"))
     wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     one = full.join(stay, "_key").dropDuplicates(["_key"])
     return one.select([f"c{i}" for i in range(len(names))]).toDF(*names).unionByName(docs.where(wordless))

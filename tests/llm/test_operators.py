@@ -462,6 +462,19 @@ def test_near_duplicates_against_brute_force(spark, edges, nothing, monkeypatch,
         assert near_duplicates(nothing).count() == 0 and keep_one(nothing).count() == 0
 
 
+def test_unrelated_texts_without_an_id_or_with_the_same_one_are_kept(spark):
+    def own(i):
+        return " ".join(f"t{i}w{j}" for j in range(30))
+
+    rows = [*[(None, own(i)) for i in range(4)], (None, own(0)), (None, own(1) + " end"), *[(7, own(i)) for i in range(10, 14)], (7, own(10)),
+            (8, own(11) + " end"), (None, own(12)), (None, "two words"), (7, "other words"), (None, None), (7, "")]
+    kept = Counter((r["doc_id"], r["text"]) for r in keep_one(docs_frame(spark, rows).repartition(3)).collect())
+    ends = [t for i, t in kept if t and t in (own(1), own(1) + " end")]  # of these near copies without an id one stays
+    assert len(ends) == 1
+    assert kept == Counter([(None, own(0)), (None, ends[0]), (None, own(2)), (None, own(3)), *[(7, own(i)) for i in range(10, 14)],
+                            (None, "two words"), (7, "other words"), (None, None), (7, "")])
+
+
 def test_similar_of_two_blocks():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 40, 30)).astype(np.uint64) for _ in range(12)]
