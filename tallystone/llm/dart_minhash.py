@@ -118,7 +118,7 @@ def similar(sets_a: list[np.ndarray], sets_b: list[np.ndarray] | None, threshold
         own = rows < n
         shared = _shared(rows[own], ids[own], n, (rows[~own] - n, ids[~own], len(sets_b)))
         sa, sb = size[:n], size[n:]
-    close = shared * (1 + threshold) >= threshold * (sa[:, None] + sb[None, :]) - 1e-6
+    close = shared.astype(np.float64) * (1 + threshold) >= threshold * (sa[:, None] + sb[None, :]) - 1e-6
     if sets_b is None:
         np.fill_diagonal(close, False)
     return close

@@ -484,6 +484,16 @@ def test_similar_of_two_blocks():
     assert (similar(sets, None, 0.5) == want).all()
 
 
+def test_similar_holds_at_the_threshold():
+    lost = []
+    for shared in range(4, 400, 4):  # a set and the same set with a quarter more: 0.8
+        a, b = np.arange(shared, dtype=np.uint64), np.arange(shared * 5 // 4, dtype=np.uint64)
+        beyond = np.arange(shared * 5 // 4 + 1, dtype=np.uint64)
+        if not (similar([a, b], None, 0.8)[0, 1] and similar([a], [b], 0.8)[0, 0]) or similar([a], [beyond], 0.8)[0, 0]:
+            lost.append(shared)
+    assert not lost
+
+
 # 10
 def test_records_round_trip(spark, edges, nothing):
     from tokenizers import Tokenizer
