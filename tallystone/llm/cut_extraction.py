@@ -6,8 +6,9 @@ boilerplate; these costs are the capacities to the two terminals. Blocks that fo
 parent are joined by smoothness edges. The minimum cut, found by maximum flow, is the labelling of least
 total cost; the content side is the main text.
 
-Defined cases: null and empty pages have an empty text; unclosed, stray and deeply nested tags are accepted;
-repeated pages give equal rows; other columns are carried along.
+Defined cases: null and empty pages have an empty text; unclosed, stray and deeply nested tags are accepted; an open head
+ends at what may not stand in it, another unseen element without an end tag of its own at the first block element (script and
+style hold the rest of the page, as in browsers); repeated pages give equal rows; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from pyspark.sql import DataFrame
 # Element kinds of the HTML standard.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 UNSEEN = {"head", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video"}
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
+          "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "li", "main", "menu", "nav", "ol", "p", "pre",
+          "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp",
           "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 # Weights of the classifier: positive speaks for content.
@@ -51,8 +56,11 @@ class Block:
 class _Reader(HTMLParser):
     """Collects blocks; each open element carries the evidence of its ancestors."""
 
-    def __init__(self) -> None:
+    def __init__(self, endless: frozenset[tuple[int, int]] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
+        self.endless = endless  # places of the unseen elements that have no end tag
+        self.places: list[tuple[int, tuple[int, int]]] = []  # depth and place of the open unseen elements
+        self.left: set[tuple[int, int]] = set()  # places of those that ended with an element around them
         self.blocks: list[Block] = []
         self.stack: list[tuple[str, float, float, bool, int]] = []  # tag, for, against, unseen, number
         self.open: dict[str, int] = {}
@@ -64,6 +72,8 @@ class _Reader(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.flush()
+        if self.places:
+            self.leave_unseen(tag)
         if tag in VOID:
             return
         _, good, bad, unseen, _ = self.stack[-1] if self.stack else ("", 0.0, 0.0, False, 0)
@@ -80,6 +90,20 @@ class _Reader(HTMLParser):
         self.stack.append((tag, good + max(weight, 0), bad + min(weight, 0), unseen or tag in UNSEEN, self.count))
         self.open[tag] = self.open.get(tag, 0) + 1
         self.links += tag == "a"
+        if tag in UNSEEN:
+            self.places.append((len(self.stack) - 1, self.getpos()))
+
+    def leave_unseen(self, tag: str) -> None:
+        """End the innermost unseen elements that ``tag`` shows to be over."""
+        while self.places:
+            depth, place = self.places[-1]
+            if self.stack[depth][0] == "head":
+                over = tag not in IN_HEAD and (tag == "body" or not self.open.get("title"))
+            else:
+                over = tag in BLOCKS and place in self.endless
+            if not over:
+                return
+            self.handle_endtag(self.stack[depth][0])
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -88,6 +112,10 @@ class _Reader(HTMLParser):
             return
         while self.stack:
             name = self.stack.pop()[0]
+            if self.places and self.places[-1][0] == len(self.stack):
+                _, place = self.places.pop()
+                if name != tag:
+                    self.left.add(place)
             self.open[name] -= 1
             self.links -= name == "a"
             self.lowest = min(self.lowest, len(self.stack))
@@ -95,6 +123,8 @@ class _Reader(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.handle_endtag("head")
         if self.stack and self.stack[-1][3]:
             return
         self.parts.append(data)
@@ -119,11 +149,17 @@ class _Reader(HTMLParser):
 
 
 def read_blocks(html: str) -> list[Block]:
-    reader = _Reader()
+    reader = _read(html)
+    endless = reader.left | {place for _, place in reader.places}
+    return (_read(html, frozenset(endless)) if endless else reader).blocks
+
+
+def _read(html: str, endless: frozenset[tuple[int, int]] = frozenset()) -> _Reader:
+    reader = _Reader(endless)
     reader.feed(html)
     reader.close()
     reader.flush()
-    return reader.blocks
+    return reader
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

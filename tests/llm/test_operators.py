@@ -109,6 +109,23 @@ def test_extraction(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_unseen_elements_without_an_end_tag():
+    story = "<article><p>First part of the story, which is long enough.</p><p>Second part of the story, also long.</p></article>"
+    want = "First part of the story, which is long enough.\nSecond part of the story, also long."
+    head = "<html><head><meta charset=utf-8><title>A <b>title</b></title><style>p {}</style><script>'<p>'</script>"
+    assert main_text(f"{head}</head><body>{story}</body></html>") == want
+    assert main_text(f"{head}<body>{story}</body></html>") == main_text(f"{head}{story}") == want
+    assert main_text(f"{head}<noscript><img src=x></noscript><title>More</title><body>{story}") == want
+    assert main_text(f"<head><noscript><link href=x><body>{story}") == want
+    for tag in ("noscript", "svg", "object", "iframe", "canvas", "audio", "video", "template"):
+        assert main_text(f"<body><div><{tag}>unseen {story}</div><p>Text after all of that, at last.</p>") == f"{want}\nText after all of that, at last."
+        hidden = f"<{tag}><p>This is not shown to any of the readers.</p></{tag}>"
+        assert main_text(f"<body><div>{hidden}{story}</div>") == want
+        assert main_text(f"<body><div><{tag}>unseen {hidden}{story}</div>") == want
+    assert main_text("<head><title>T</title>Words that end the head, as in browsers, and are long.") == "Words that end the head, as in browsers, and are long."
+    assert main_text("<div><noscript>" * 2000 + story) == want
+
+
 def test_min_cut_against_all_labellings():
     rng = np.random.default_rng(3)
     for _ in range(60):
