@@ -130,3 +130,30 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = toxicity_chain(docs, labels, ["low_quality", "toxic"])
     p = F.col("_probabilities")
     return score_toxicity(docs, chain).select("doc_id", p[0].alias("p_low_quality"), p[1].alias("p_toxic"), (p[1] >= TOXIC_AT).cast("int").alias("toxic"))
+
+
+@register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, the longest of them, and the text without the repetitions."""
+    from tallystone.llm.periodic_runs import find_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_runs(docs, plant=F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    best = F.array_sort("_runs", lambda a, b: F.coalesce(
+        *(F.when(x < y, -1).when(x > y, 1) for x, y in ((b["length"], a["length"]), (a["start"], b["start"]), (a["period"], b["period"]))), F.lit(0)))
+    best = F.get(best, F.lit(0))
+    lines = F.array_join(F.transform("_runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.select(
+        "doc_id", F.size("_runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.when(F.size("_runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("_collapsed", 256).alias("collapsed_sha256"))
+
+
+@register
+def op12_byte_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under a byte model of the training documents, beside a unigram base."""
+    from tallystone.llm.byte_ppm import ppm_scores
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ppm_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
