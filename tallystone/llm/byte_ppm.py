@@ -42,6 +42,7 @@ from tallystone.session import cut_lineage
 ORDER = 4
 BATCH_BYTES = 32 << 20
 CHUNK = 2 << 20
+GROUP_ROWS = 100_000
 ALPHA = 0.1
 END = 0x0A
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -142,8 +143,8 @@ def packed(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
 def log_chances(rows: np.ndarray, counts: np.ndarray, short: tuple[np.ndarray, np.ndarray], order: int = ORDER) -> np.ndarray:
     """log10 probability of the last byte of each row after its context.
 
-    ``rows``: distinct context rows, all of those that share their last two context bytes; ``counts``: in training,
-    0 for rows that only scored texts hold. ``short``: training counts of (last context byte, byte) and of (byte).
+    ``rows``: distinct context rows, with each all others that share its last two context bytes; ``counts``: in
+    training, 0 for rows that only scored texts hold. ``short``: training counts of (last context byte, byte) and of (byte).
     """
     m = len(rows)
     tail = (rows >> 8) & 0xFF
@@ -162,12 +163,12 @@ def log_chances(rows: np.ndarray, counts: np.ndarray, short: tuple[np.ndarray, n
             total[k] = np.bincount(owner, weights=n, minlength=len(context)).astype(np.int64)[owner][place]
             kinds[k] = np.bincount(owner, weights=n > 0, minlength=len(context)).astype(np.int64)[owner][place]
         else:
-            table = pairs[tail[0]] if k == 1 else singles
-            count[k], total[k], kinds[k] = table[symbol], table.sum(), (table > 0).sum()
+            table, at = (pairs, tail) if k == 1 else (singles[None, :], np.zeros(m, np.int64))
+            count[k], total[k], kinds[k] = table[at, symbol], table.sum(axis=1)[at], (table > 0).sum(axis=1)[at]
         if k == order:
             continue
         if k == 0:
-            barred[0] = singles[pairs[tail[0]] > 0].sum() if order >= 1 else 0
+            barred[0] = ((pairs > 0) @ singles)[tail]
             continue
         # the count at order k of each byte seen at order k + 1, added up per context of order k + 1
         own, n, owner, place = of[k + 1]
@@ -204,7 +205,10 @@ def row_chances(totals: DataFrame, order: int = ORDER) -> DataFrame:
         rows, counts = (group.column(c).to_numpy() for c in ("row", "n"))
         return pa.table({"row": rows, "chance": log_chances(rows, counts, short.value, order)})
 
-    return totals.groupBy(F.shiftright("row", 8).bitwiseAND(0xFFFF)).applyInArrow(run, "row long, chance double")
+    # contexts with the same last two bytes stay together; so many of them in a group that it has about GROUP_ROWS rows
+    groups = -(-totals.count() // GROUP_ROWS)
+    tail = F.xxhash64(F.shiftright("row", 8).bitwiseAND(0xFFFF))
+    return totals.groupBy(F.pmod(tail, F.lit(max(groups, 1)))).applyInArrow(run, "row long, chance double")
 
 
 def _score(order: int, seen: tuple[int, int], target: pa.Schema):
