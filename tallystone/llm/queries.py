@@ -157,3 +157,73 @@ def op12_byte_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return ppm_scores(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)
+
+
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether its text still belongs to the manifest after half of them lost their line feeds."""
+    from tallystone.llm.merkle_manifest import merkle_manifest, prove, row_digest
+
+    docs = table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    # a text without a line feed keeps its leaf: one digest serves both
+    changed = tampered & F.contains("text", F.lit("\n"))
+    leaf = row_digest(*columns, F.col("text"))
+    leaves = docs.select(F.col("source").alias("grp"), F.col("doc_id").alias("id"), leaf.alias("digest"),
+                         F.when(changed, row_digest(*columns, F.replace("text", F.lit("\n"), F.lit("")))).alias("lost"))
+    leaves = leaves.select("grp", "id", "digest", F.coalesce("lost", "digest").alias("claim"))
+    return prove(*merkle_manifest(leaves), "claim").select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"),
+        F.col("holds").alias("verified"))
+
+
+#: crc32 of the id bit by bit, the trees level by level, then every leaf upwards beside its siblings
+ORACLES["op11_merkle_manifest"] = r"""
+with recursive
+bits as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1))) as t),
+docs as (
+  select d.*, row_number() over () as tie,
+         xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)),
+                         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc
+  from documents d, bits),
+framed as (
+  select doc_id, source, tie,
+         coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') as head,
+         text, if(crc % 2 = 0, replace(text, chr(10), ''), text) as lost
+  from docs),
+hashed as (
+  select doc_id, source, tie, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+         sha256(head || coalesce(strlen(lost) || ':' || lost, '-')) as claim from framed),
+leaves as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf, tie) - 1 as pos, count(*) over (partition by source) as n from hashed),
+tree(source, level, pos, n, digest) as (
+  select source, 0, pos, n, leaf from leaves
+  union all
+  select source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' order by pos)) from tree where n > 1 group by source, level, pos // 3, n),
+subroots as (
+  select source, digest as subroot, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n from tree where n = 1),
+crown(level, pos, n, digest) as (
+  select 0, pos, n, subroot from subroots
+  union all
+  select level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' order by pos)) from crown where n > 1 group by level, pos // 3, n),
+walk(tie, source, part, level, pos, n, proof, folded) as (
+  select tie, source, 0, 0, pos, n, '', claim from leaves
+  union all
+  select * from (
+    with sides as (
+      select w.tie, w.source, w.part, w.level, w.pos, w.n, w.proof, w.folded,
+             coalesce(string_agg(d.digest, '' order by d.pos) filter (d.pos < w.pos), '') as l,
+             coalesce(string_agg(d.digest, '' order by d.pos) filter (d.pos > w.pos), '') as r
+      from walk w join (select 0 as part, source, level, pos, digest from tree union all select 1, null, level, pos, digest from crown) d
+        on d.part = w.part and d.level = w.level and d.pos // 3 = w.pos // 3 and (w.part = 1 or d.source is not distinct from w.source)
+      where w.n > 1 group by all)
+    select tie, source, part, level + 1, pos // 3, (n + 2) // 3, proof || l || r, sha256(l || folded || r) from sides
+    union all
+    select w.tie, w.source, 1, 0, s.pos, s.n, w.proof, w.folded from walk w join subroots s on s.source is not distinct from w.source
+    where w.n = 1 and w.part = 0 and s.n > 1))
+select h.doc_id, h.leaf, s.subroot, c.digest as root, sha256(w.proof) as proof_sha256, w.folded as folded_root, w.folded = c.digest as verified
+from hashed h join walk w using (tie) join subroots s on s.source is not distinct from h.source cross join (select digest from crown where n = 1) c
+where w.n = 1 and (w.part = 1 or s.n = 1)
+"""
