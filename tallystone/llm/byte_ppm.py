@@ -8,7 +8,7 @@ that training has seen: ``count / (n + d)`` for a byte seen there (``n`` occurre
 bytes), else the escape ``d / (n + d)`` and the next shorter context, from which the bytes of
 the longer one are excluded, down to an even choice among bytes never seen.
 
-How it runs: a task packs its documents into batches of about ``BATCH_BYTES`` (texts compressed, the
+How it runs: a task packs its documents into batches of about ``BATCH_BYTES`` (texts in compressed frames, the
 distinct context rows and words of the batch with their training counts) and writes them to
 the shared folder. Counts are summed per context row and per word over all batches by shuffle;
 the probability of each context row is worked out once, in groups that share the last two
@@ -41,7 +41,7 @@ from tallystone.session import cut_lineage
 
 ORDER = 4
 BATCH_BYTES = 32 << 20
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 GROUP_ROWS = 100_000
 ALPHA = 0.1
 END = 0x0A
@@ -78,15 +78,15 @@ class _Batch:
 
     def __init__(self, order: int):
         self.order = order
-        self.texts, self.sizes, self.ids, self.held = [], [], [], []
+        self.frames, self.sizes, self.ids, self.held = [], [], [], []
         self.rows, self.words, self.size = [], [], 0
 
     def add(self, ids: list, held: list[bool], texts: list[bytes]) -> None:
         self.ids += ids
         self.held += held
-        self.sizes += map(len, texts)
+        self.sizes.append([len(t) for t in texts])
         joined = b"".join(texts)
-        self.texts.append(joined)
+        self.frames.append(pa.compress(joined, codec="zstd", asbytes=True))
         self.size += len(joined)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         rows = context_rows(np.frombuffer(joined, np.uint8), bounds, self.order)
@@ -101,17 +101,19 @@ class _Batch:
             self.words.append((found.field("values"), pc.multiply(found.field("counts"), weight)))
         self.words.append((pa.array([b"\n"], pa.binary()), pa.array([int(learn.sum())], pa.int64())))
 
-    def row(self) -> dict:
+    def row(self, target: pa.Schema) -> pa.RecordBatch:
         rows, counts = _counted(self.rows)
         words = pa.table({"word": pa.chunked_array([w for w, _ in self.words]), "n": pa.chunked_array([n for _, n in self.words])})
         words = words.group_by("word").aggregate([("n", "sum")])
-        blob = pa.compress(b"".join(self.texts), codec="zstd", asbytes=True)
-        return {"batch": uuid.uuid4().int >> 65, "ids": self.ids, "held": self.held, "sizes": self.sizes, "size": self.size, "blob": blob,
-                "row": rows, "row_n": counts, "word": words["word"].combine_chunks(), "word_n": words["n_sum"].combine_chunks()}
+        one = {"batch": pa.array([uuid.uuid4().int >> 65]), "ids": pa.array([self.ids], target.field("ids").type), "held": pa.array([self.held]),
+               "frames": pa.array([self.frames]), "sizes": pa.array([self.sizes])}
+        for name, items in (("row", rows), ("row_n", counts), ("word", words["word"].combine_chunks()), ("word_n", words["n_sum"].combine_chunks())):
+            one[name] = pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items if isinstance(items, pa.Array) else pa.array(items))
+        return pa.RecordBatch.from_arrays([one[f.name].cast(f.type) for f in target], schema=target)
 
 
 def _schema(kind: str) -> str:
-    return (f"batch long, ids array<{kind}>, held array<boolean>, sizes array<long>, size long, blob binary, "
+    return (f"batch long, ids array<{kind}>, held array<boolean>, frames array<binary>, sizes array<array<long>>, "
             "row array<long>, row_n array<long>, word array<binary>, word_n array<long>")
 
 
@@ -132,10 +134,10 @@ def packed(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
                 bodies = [normalised(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 pack.add(*(batch.column(c).slice(start, stop - start).to_pylist() for c in ("id", "held")), bodies)
                 if pack.size >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_pydict({k: [v] for k, v in pack.row().items()}, schema=target)
+                    yield pack.row(target)
                     pack = _Batch(order)
         if pack.sizes:
-            yield pa.RecordBatch.from_pydict({k: [v] for k, v in pack.row().items()}, schema=target)
+            yield pack.row(target)
 
     return given.mapInArrow(run, schema)
 
@@ -226,27 +228,20 @@ def _score(order: int, seen: tuple[int, int], target: pa.Schema):
                 own = place >= 0
                 chance[place[own]] = value[own]
                 count[-1 - place[~own]] = value[~own]
-                sizes = scalar["sizes"].values.to_numpy()
-                bounds = np.concatenate([[0], np.cumsum(sizes)])
-                data = pa.decompress(scalar["blob"].as_py(), decompressed_size=int(bounds[-1]), codec="zstd", asbytes=True)
                 log_count = np.log10((count + ALPHA) / (train + ALPHA * (kinds + 1))) if train else np.full(len(count), np.nan)
-                low = 0
-                while low < len(sizes):
-                    high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + CHUNK, "right")) - 1)
-                    cuts = bounds[low : high + 1]
-                    piece = np.frombuffer(data, np.uint8, int(cuts[-1] - cuts[0]), int(cuts[0]))
-                    found = np.searchsorted(rows, context_rows(piece, cuts - cuts[0], order))
-                    out["score"].append(np.add.reduceat(chance[found], cuts[:-1] - cuts[0]))
+                for frame, sizes in zip(scalar["frames"].values, scalar["sizes"].values, strict=True):
+                    cuts = np.concatenate([[0], np.cumsum(sizes.values.to_numpy())])
+                    data = pa.decompress(frame.as_buffer(), decompressed_size=int(cuts[-1]), codec="zstd", asbytes=True)
+                    found = np.searchsorted(rows, context_rows(np.frombuffer(data, np.uint8), cuts, order))
+                    out["score"].append(np.add.reduceat(chance[found], cuts[:-1]))
                     # the end stands for a word of its own; it was counted as one
                     split = [data[a : b - 1].split(b" ") if b - a > 1 else [] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
                     tokens = np.array([len(s) + 1 for s in split])
-                    flat = pa.array([w for s in split for w in (*s, b"\n")], pa.binary())
-                    index = pc.index_in(flat, words).to_numpy()
+                    index = pc.index_in(pa.array([w for s in split for w in (*s, b"\n")], pa.binary()), words).to_numpy()
                     first = np.cumsum(tokens) - tokens
                     out["n_tokens"].append(tokens)
                     out["n_known"].append(np.add.reduceat((count[index] > 0).astype(np.int64), first))
                     out["base_score"].append(np.add.reduceat(log_count[index], first))
-                    low = high
                 out["id"].append(scalar["ids"].values)
                 out["held_out"].append(scalar["held"].values)
         flat = {}
@@ -286,5 +281,5 @@ def ppm_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
                .unionAll(counted.select("batch", "place", F.col("n").cast("double").alias("value"))).toDF("owner", "place", "value"))
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     score = _score(order, (train or 0, kinds), to_arrow_schema(_parse_datatype_string(schema)))
-    return (packs.select("batch", "ids", "held", "sizes", "blob", "row", "word").groupBy("batch").cogroup(answers.groupBy("owner"))
+    return (packs.select("batch", "ids", "held", "sizes", "frames", "row", "word").groupBy("batch").cogroup(answers.groupBy("owner"))
             .applyInArrow(score, schema).withColumnRenamed("id", doc_id))
