@@ -168,3 +168,12 @@ def touching(polygons: DataFrame, polygon: str, rings: str, cell: float, digits:
             yield batch.loc[boundaries_touch(list(batch["_a"]), list(batch["_b"]), eps), ["poly_a", "poly_b"]]
 
     return both.select("poly_a", "poly_b", "_a", "_b").mapInPandas(settle, f"poly_a {kind}, poly_b {kind}")
+
+
+def centroid(rings: Column) -> Column:
+    """Centre of area of a polygon (holes run the other way round), as a struct of lon and lat."""
+    zero = F.lit(0.0)
+    turn = lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"]
+    total = F.aggregate(ring_edges(rings), F.struct(zero.alias("a"), zero.alias("x"), zero.alias("y")), lambda s, e: F.struct(
+        (s["a"] + turn(e)).alias("a"), (s["x"] + (e["x1"] + e["x2"]) * turn(e)).alias("x"), (s["y"] + (e["y1"] + e["y2"]) * turn(e)).alias("y")))
+    return F.struct(F.try_divide(total["x"], 3 * total["a"]).alias("lon"), F.try_divide(total["y"], 3 * total["a"]).alias("lat"))

@@ -203,93 +203,6 @@ def match_cascade(t):
     return linkage.cascade(docs, "doc_id", rules, "item_id").select("doc_id", "item_id", "match_rule")
 
 
-CROSSWALK_SQL = """
-with r as (select p_partkey rec, p_brand, p_name, p_size % 10 sz, p_type from part where p_partkey % 3 <> 0),
-g as (select p_partkey ident, p_brand, p_name, p_size % 10 sz, p_type from part where p_partkey % 3 = 0),
-c as (select rec, p_brand, p_name, sz, p_type, (select count(*) from g where g.p_brand = r.p_brand and g.p_name = r.p_name) n_geo,
-  (select min(ident) from g where g.p_brand = r.p_brand and g.p_name = r.p_name) i0,
-  (select count(*) from g where g.p_brand = r.p_brand and g.p_name = r.p_name and g.sz = r.sz) n1,
-  (select min(ident) from g where g.p_brand = r.p_brand and g.p_name = r.p_name and g.sz = r.sz) i1,
-  (select count(*) from g where g.p_brand = r.p_brand and g.p_name = r.p_name and g.p_type = 'PROMO') n2,
-  (select min(ident) from g where g.p_brand = r.p_brand and g.p_name = r.p_name and g.p_type = 'PROMO') i2,
-  (select count(*) from g where g.p_brand = r.p_brand and g.p_name = r.p_name and g.p_type <> 'PROMO') n3,
-  (select min(ident) from g where g.p_brand = r.p_brand and g.p_name = r.p_name and g.p_type <> 'PROMO') i3 from r),
-s as (select rec, p_brand, p_name, n_geo, case when n_geo = 0 then null when n_geo = 1 then i0 when n1 = 1 then i1 when n2 = 1 then i2 when n2 = 0 and n3 = 1 then i3 end ident,
-  case when n_geo = 0 then 'unmatched' when n_geo = 1 then 'unique' when n1 = 1 then 'unique_via_size' when n2 = 1 or (n2 = 0 and n3 = 1) then 'unique_via_type' else 'ambiguous' end st from c),
-o as (select p_brand, p_name, min(rec) grp, count(*) k from s where st = 'ambiguous' group by all),
-x as (select s.rec, s.p_brand, s.p_name, s.n_geo, s.ident, case when st = 'ambiguous' and k > 1 then 'ambiguous_shared' else st end match_status,
-  case when st = 'ambiguous' and k > 1 then grp end split_group from s left join o using (p_brand, p_name))
-"""
-
-
-def _part_crosswalk(t):
-    cols = ["p_brand", "p_name", (F.col("p_size") % 10).alias("sz"), "p_type"]
-    records = t.part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("rec"), *cols)
-    listed = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("ident"), *cols)
-    by = ["p_brand", "p_name"]
-    stated = linkage.candidate_status(records, "rec", listed, "ident", by)
-    rank = F.when(F.col("p_type") == "PROMO", 1).otherwise(2)
-    resolved = linkage.resolve(stated, "rec", "ident", {
-        "unique_via_size": linkage.narrowed(listed, "ident", [*by, "sz"], "rec"),
-        "unique_via_type": linkage.preferred(listed, "ident", by, rank, "rec")})
-    still = resolved.where("match_status = 'ambiguous'").groupBy(*by).agg(F.min("rec").alias("_grp"), F.count("*").alias("_k"))
-    shared = salted_join(resolved, still.where("_k > 1"), by, ["rec"], "left")
-    is_shared = (F.col("match_status") == "ambiguous") & F.col("_k").isNotNull()
-    return shared.withColumns({
-        "split_group": F.when(is_shared, F.col("_grp")),
-        "match_status": F.when(is_shared, "ambiguous_shared").otherwise(F.col("match_status"))}).drop("_grp", "_k")
-
-
-@query("resolver_cascade", CROSSWALK_SQL + "select rec, ident, match_status, n_geo, split_group from x")
-def resolver_cascade(t):
-    """Records to gazetteer ids in stages: name, then size, then preferred type, then shared groups."""
-    return _part_crosswalk(t).select("rec", "ident", "match_status", "n_geo", "split_group")
-
-
-@query("status_report", CROSSWALK_SQL + "select match_status, count(*) n from x group by 1")
-def status_report(t):
-    return counts_by(_part_crosswalk(t), ["match_status"])
-
-
-@query("status_lookup", CROSSWALK_SQL + """
-, w as (select p_partkey rec from part union all select -p_partkey - 1 from part where p_partkey % 50 = 0)
-select w.rec, coalesce(match_status, 'not_found') match_status, case when match_status is null then 'no such code'
-  when ident is not null then 'points to ' || ident when match_status = 'unmatched' then 'no candidate'
-  else n_geo || ' candidates' || case when split_group is not null then ', shared by ' || k || ' codes' else '' end end explanation
-from w left join x using (rec) left join (select split_group, count(*) k from x where split_group is not null group by 1) using (split_group)
-""")
-def status_lookup(t):
-    """A batch of codes with their crosswalk status in words; unknown codes are reported."""
-    x = _part_crosswalk(t)
-    sizes = x.where("split_group is not null").groupBy("split_group").agg(F.count("*").alias("k"))
-    wanted = t.part.select(F.col("p_partkey").alias("rec")).unionByName(
-        t.part.where("p_partkey % 50 = 0").select((-F.col("p_partkey") - 1).alias("rec")))
-    found = salted_join(wanted.join(x, "rec", "left"), sizes, ["split_group"], ["rec"], "left")
-    shared = F.when(F.col("split_group").isNotNull(), F.concat(F.lit(", shared by "), "k", F.lit(" codes"))).otherwise("")
-    words = (F.when(F.col("match_status").isNull(), "no such code")
-             .when(F.col("ident").isNotNull(), F.concat(F.lit("points to "), F.col("ident")))
-             .when(F.col("match_status") == "unmatched", "no candidate")
-             .otherwise(F.concat(F.col("n_geo").cast("string"), F.lit(" candidates"), shared)))
-    return found.select("rec", F.coalesce("match_status", F.lit("not_found")).alias("match_status"), words.alias("explanation"))
-
-
-@query("reverse_status", CROSSWALK_SQL + """
-, g2 as (select g.ident, g.p_brand, g.p_name from g)
-select g2.ident, count(x.rec) n_records, min(x.rec) first_record, count(*) filter (x.match_status like 'ambiguous%') n_open
-from g2 left join x on (x.ident = g2.ident) or (x.match_status like 'ambiguous%' and x.p_brand = g2.p_brand and x.p_name = g2.p_name) group by 1
-""")
-def reverse_status(t):
-    """For each gazetteer id, how many records point to it or still may."""
-    x = _part_crosswalk(t)
-    fixed = x.where("ident is not null").groupBy("ident").agg(F.count("*").alias("a"), F.min("rec").alias("ra"))
-    pool = x.where("match_status like 'ambiguous%'").groupBy("p_brand", "p_name").agg(F.count("*").alias("b"), F.min("rec").alias("rb"))
-    listed = t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("ident"), "p_brand", "p_name")
-    both = salted_join(listed.join(fixed, "ident", "left"), pool, ["p_brand", "p_name"], ["ident"], "left")
-    zero = F.lit(0).cast("long")
-    return both.select("ident", (F.coalesce("a", zero) + F.coalesce("b", zero)).alias("n_records"),
-                       F.least("ra", "rb").alias("first_record"), F.coalesce("b", zero).alias("n_open"))
-
-
 ROUNDS_SQL = """
 with d as (select s_suppkey, case when s_suppkey % 4 = 0 then n_name when s_suppkey % 4 = 1 then 'Greater ' || n_name when s_suppkey % 4 = 2 then 'X' || s_suppkey else 'Manual' || n_nationkey end label, n_nationkey, n_regionkey
   from supplier join nation on s_nationkey = n_nationkey)
