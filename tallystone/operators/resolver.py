@@ -74,7 +74,8 @@ def near_centre(record: str, ident: str, keys: Sequence[str], everyone: DataFram
     """For a key that all records have in one district: the candidate nearest to that district's centroid (least ident on ties)."""
 
     def run(records: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-        single = everyone.groupBy(*keys).agg(F.countDistinct("district").alias("_k"), F.min("district").alias("district")).where("_k = 1")
+        single = everyone.groupBy(*keys).agg(F.countDistinct("district").alias("_k"), F.count_if(F.col("district").isNull()).alias("_none"),
+                                             F.min("district").alias("district")).where("_k = 1 and _none = 0")
         centre = districts.select("district", centroid(F.col("rings")).alias("_c"))
         single = single.join(centre, "district").select(*keys, "_c")
         placed = salted_join(members.where("part = 'all'"), single, keys, [ident])
