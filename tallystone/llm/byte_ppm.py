@@ -41,8 +41,9 @@ from tallystone.session import cut_lineage
 
 ORDER = 4
 BATCH_BYTES = 32 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 GROUP_ROWS = 100_000
+SLICE_ROWS = 256
 ALPHA = 0.1
 END = 0x0A
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -129,13 +130,16 @@ def packed(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = _Batch(order)
         for batch in batches:
-            for start, stop, texts in chunks(batch.column("body"), CHUNK):
-                data, cuts = texts.data.tobytes(), texts.bounds
-                bodies = [normalised(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                pack.add(*(batch.column(c).slice(start, stop - start).to_pylist() for c in ("id", "held")), bodies)
+            for low in range(0, len(batch), SLICE_ROWS):  # no second copy of all texts of a batch
+                part = batch.slice(low, SLICE_ROWS)
+                for start, stop, texts in chunks(part.column("body"), CHUNK):
+                    data, cuts = texts.data.tobytes(), texts.bounds
+                    bodies = [normalised(data[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                    pack.add(*(part.column(c).slice(start, stop - start).to_pylist() for c in ("id", "held")), bodies)
                 if pack.size >= BATCH_BYTES:
                     yield pack.row(target)
                     pack = _Batch(order)
+                    pa.default_memory_pool().release_unused()
         if pack.sizes:
             yield pack.row(target)
 
@@ -253,6 +257,7 @@ def _score(order: int, seen: tuple[int, int], target: pa.Schema):
                 flat[f.name] = pa.chunked_array(parts, f.type).combine_chunks()
             else:
                 flat[f.name] = pa.array(np.concatenate(parts) if parts else [], f.type, from_pandas=True)
+        pa.default_memory_pool().release_unused()
         return pa.table(flat, schema=target)
 
     return run
