@@ -150,7 +150,7 @@ def split_apart(record: str, ident: str, keys: Sequence[str], districts: DataFra
         away = placed.where("_part is null").drop("_part")
         sides = held.join(polygon_segments(districts, "district", "rings"), "district").withColumnRenamed("_part", "_near")
         away = away.withColumn("_point", F.struct(*keys, ident))
-        near = nearest_segments(away, "_point", "x", "y", sides, "_near", cell, keys)
+        near = nearest_segments(away, "_point", "x", "y", sides, "_near", keys)
         moved = away.join(near.select("_point", F.col("_near").alias("_part")), "_point").drop("_point")
         parts = cut_lineage(placed.where("_part is not null").unionByName(moved).drop("part").withColumnRenamed("_part", "part"))
         counted = parts.groupBy(*keys, "part").agg(F.count("*").alias("_n"), F.min(ident).alias("_only"))
@@ -182,8 +182,8 @@ def run_stages(records: DataFrame, members: DataFrame, stages: Mapping[str, Stag
     state = cut_lineage(records.withColumn("stage", F.when(~F.col("open"), "name")))
     done, current = state.where("not open"), state.where("open")
     for name, stage in stages.items():
-        current, members = stage(current, members)
-        current, members = cut_lineage(current), cut_lineage(members)
+        current, renewed = stage(current, members)
+        current, members = cut_lineage(current), members if renewed is members else cut_lineage(renewed)
         done = done.unionByName(current.where("not open").withColumn("stage", F.lit(name)), allowMissingColumns=True)
         current = current.where("open")
     return done.unionByName(current).drop("open"), members

@@ -9,13 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallystone.functions.outlines import boundaries_touch
 from tallystone.operators.skew import salted_join
 from tallystone.session import cut_lineage
 
+#: Segments in a leaf of the tree over segments, and how often a node can be cut into 8 by 8.
+LEAF_SIZE = 32
+LEVELS = 9
 
 def ring_edges(rings: Column) -> Column:
     """All edges of all rings, each ring closed."""
@@ -78,49 +81,88 @@ def _distance_squared(px: Column, py: Column) -> Column:
     return F.pow(px - (x1 + t * dx), 2) + F.pow(py - (y1 + t * dy), 2)
 
 
-def nearest_segments(points: DataFrame, point: str, x: str, y: str, segments: DataFrame, feature: str, cell: float,
-                     group: Sequence[str] = ()) -> DataFrame:
-    """Nearest feature (least id on ties) and its distance for every point.
+def _box_tree(segments: DataFrame, feature: str, group: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Nodes of a tree over the segments of each group, and the segments with the leaf that holds them.
+
+    A node with more than ``LEAF_SIZE`` segments is cut into 8 by 8 cells of the rectangle around their middles, which is
+    drawn anew for every node: cells are as fine as the segments are dense, and a far outlier costs one level. A
+    node's own box is that of its segments; ``mark`` is an end of one of them. Segments with one middle stay together.
+    """
+    middle = lambda c: ((F.col(f"{c}1") + F.col(f"{c}2")) / 2).alias(f"m{c}")
+    live = segments.select(*group, feature, "x1", "y1", "x2", "y2", middle("x"), middle("y"), F.lit(1).cast("long").alias("node"))
+    place, kept = [*group, "node"], [*group, feature, "x1", "y1", "x2", "y2", "node"]
+    nodes = leaves = None
+    for level in range(LEVELS + 1):
+        live = cut_lineage(live)
+        boxes = live.groupBy(*place).agg(
+            F.count("*").alias("n"), F.min(F.least("x1", "x2")).alias("xlo"), F.max(F.greatest("x1", "x2")).alias("xhi"),
+            F.min(F.least("y1", "y2")).alias("ylo"), F.max(F.greatest("y1", "y2")).alias("yhi"), F.min(F.struct("x1", "y1")).alias("mark"),
+            *[f(f"m{c}").alias(f"_{c}{n}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))])
+        one_spot = (F.col("_xlo") == F.col("_xhi")) & (F.col("_ylo") == F.col("_yhi"))
+        boxes = cut_lineage(boxes.withColumns({"leaf": (F.col("n") <= LEAF_SIZE) | one_spot | F.lit(level == LEVELS), "parent": F.shiftright("node", 6)}))
+        inner = boxes.where("not leaf").select(*place, "_xlo", "_xhi", "_ylo", "_yhi")
+        own = boxes.drop("_xlo", "_xhi", "_ylo", "_yhi")
+        nodes = own if nodes is None else nodes.unionByName(own)
+        last = inner.isEmpty()
+        settled = (live if last else salted_join(live, own.where("leaf"), place, [feature, "x1", "y1"], "left_semi")).select(*kept)
+        leaves = settled if leaves is None else leaves.unionByName(settled)
+        if last:
+            return nodes, leaves
+        step = lambda c: F.least(F.floor(F.coalesce(F.try_divide(F.col(f"m{c}") - F.col(f"_{c}lo"), F.col(f"_{c}hi") - F.col(f"_{c}lo")), F.lit(0.0)) * 8), F.lit(7)).cast("long")
+        live = salted_join(live, inner, place, [feature, "x1", "y1"])
+        live = live.withColumn("node", F.col("node") * 64 + step("x") * 8 + step("y")).drop("_xlo", "_xhi", "_ylo", "_yhi")
+    raise AssertionError("the last level has leaves only")
+
+
+def _frontier(places: DataFrame, nodes: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Leaves that may hold the nearest segment of each place.
+
+    Goes down the tree level by level. A place keeps the nodes whose box is no farther than the nearest thing
+    it knows of: an end of a segment, or the far corner of a box.
+    """
+    px, py = F.col("_px"), F.col("_py")
+
+    def seen(k: Column) -> Column:
+        """A child beside its least and its surely reached distance, squared."""
+        out_x = F.greatest(k["xlo"] - px, F.lit(0.0), px - k["xhi"])
+        out_y = F.greatest(k["ylo"] - py, F.lit(0.0), py - k["yhi"])
+        far = F.pow(F.greatest(F.abs(k["xlo"] - px), F.abs(k["xhi"] - px)), 2) + F.pow(F.greatest(F.abs(k["ylo"] - py), F.abs(k["yhi"] - py)), 2)
+        end = F.pow(k["mark"]["x1"] - px, 2) + F.pow(k["mark"]["y1"] - py, 2)
+        return F.struct(k["node"].alias("node"), k["leaf"].alias("leaf"), (F.pow(out_x, 2) + F.pow(out_y, 2)).alias("_near"), F.least(far, end).alias("_sure"))
+
+    place = [*group, "_px", "_py"]
+    # a node has 64 children at most
+    children = cut_lineage(nodes.groupBy(*group, F.col("parent").alias("node")).agg(
+        F.collect_list(F.struct("node", "leaf", "xlo", "xhi", "ylo", "yhi", "mark")).alias("_kids")))
+    live = places.withColumns({"node": F.lit(0).cast("long"), "leaf": F.lit(False), "_near": F.lit(0.0), "_known": F.lit(float("inf"))})
+    while True:
+        down = salted_join(live.where("not leaf").drop("leaf", "_near"), children, [*group, "node"], ["_px", "_py"])
+        down = down.withColumn("_kids", F.transform("_kids", seen))
+        down = down.withColumn("_known", F.least("_known", F.array_min(F.transform("_kids", lambda k: k["_sure"]))))
+        down = down.select(*place, "_known", F.explode(F.filter("_kids", lambda k: k["_near"] <= F.col("_known") * (1 + 1e-9))).alias("_k"))
+        reached = live.where("leaf").unionByName(down.select(*place, "_k.node", "_k.leaf", "_k._near", "_known"))
+        best = reached.withColumn("_known", F.min("_known").over(Window.partitionBy(*place)))  # a few nodes per place
+        live = cut_lineage(best.where(F.col("_near") <= F.col("_known") * (1 + 1e-9)))
+        if live.where("not leaf").isEmpty():
+            return live.select(*place, "node")
+
+
+def nearest_segments(points: DataFrame, point: str, x: str, y: str, segments: DataFrame, feature: str, group: Sequence[str] = ()) -> DataFrame:
+    """Nearest feature (least id on ties) and its distance for every point; null without any feature or place.
 
     ``segments`` has ``feature, x1, y1, x2, y2`` (a point is a segment of length
-    0) and the ``group`` columns, which must agree. A point looks at its own cell
-    and the eight around it; it is done when something lies no farther than one
-    cell width, since nothing nearer can then be missing. The others go on with
-    cells four times as wide. Equal coordinates are looked up once.
+    0) and the ``group`` columns, which must agree. Equal coordinates are looked up once, in a tree whose cells follow the density of
+    the segments, so that neither clusters nor far outliers make a place meet many of them.
     """
-    places = points.select(*group, F.col(x).alias("_px"), F.col(y).alias("_py")).distinct()
-    extent = places.agg(F.min("_px"), F.max("_px"), F.min("_py"), F.max("_py")).first()
-    reach = segments.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")),
-                         F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
-    found = None
-    if extent[0] is not None and reach[0] is not None:
-        widest = max(max(extent[1], reach[1]) - min(extent[0], reach[0]), max(extent[3], reach[3]) - min(extent[2], reach[2]))
-        size, open_places, last = cell, places, False
-        while not last:
-            last = size > 2 * widest
-            open_places = cut_lineage(open_places)
-            if open_places.isEmpty():
-                break
-            cells = segments.select(
-                *group, feature, "x1", "y1", "x2", "y2",
-                F.explode(F.sequence(_cell(F.least("x1", "x2"), size), _cell(F.greatest("x1", "x2"), size))).alias("_cx"),
-                _cell(F.least("y1", "y2"), size).alias("_lo"), _cell(F.greatest("y1", "y2"), size).alias("_hi"))
-            cells = cells.withColumn("_cy", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
-            around = open_places.withColumn("_cx", F.explode(F.sequence(_cell(F.col("_px"), size) - 1, _cell(F.col("_px"), size) + 1)))
-            around = around.withColumn("_cy", F.explode(F.sequence(_cell(F.col("_py"), size) - 1, _cell(F.col("_py"), size) + 1)))
-            met = salted_join(around, cells, [*group, "_cx", "_cy"], ["_px", "_py"], growth=8)
-            best = met.groupBy(*group, "_px", "_py").agg(
-                F.min(F.struct(_distance_squared(F.col("_px"), F.col("_py")).alias("d"), F.col(feature).alias("f"))).alias("_b"))
-            near = best if last else best.where(F.sqrt("_b.d") <= size)
-            near = cut_lineage(near)
-            found = near if found is None else found.unionByName(near)
-            open_places = open_places.join(near, [*group, "_px", "_py"], "left_anti")
-            size *= 4
-    if found is None:
-        return points.select(point, F.lit(None).cast(segments.schema[feature].dataType).alias(feature),
-                             F.lit(None).cast("double").alias("distance"))
-    found = found.withColumnsRenamed({"_px": x, "_py": y})
-    return salted_join(points, found, [*group, x, y], [point], "left").select(point, F.col("_b.f").alias(feature), F.sqrt("_b.d").alias("distance"))
+    places = points.select(*group, F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).where("_px is not null and _py is not null").distinct()
+    nodes, leaves = _box_tree(segments, feature, group)
+    held = _frontier(places, nodes, group)
+    met = salted_join(held, leaves, [*group, "node"], ["_px", "_py"], growth=8)
+    found = met.groupBy(*group, "_px", "_py").agg(
+        F.min(F.struct(_distance_squared(F.col("_px"), F.col("_py")).alias("d"), F.col(feature).alias("f"))).alias("_b"))
+    # the places carry the coordinates as doubles
+    keyed = points.withColumns({"_px": F.col(x).cast("double"), "_py": F.col(y).cast("double")})
+    return salted_join(keyed, found, [*group, "_px", "_py"], [point], "left").select(point, F.col("_b.f").alias(feature), F.sqrt("_b.d").alias("distance"))
 
 
 def polygon_segments(polygons: DataFrame, polygon: str, rings: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -131,7 +173,7 @@ def assign_points(points: DataFrame, point: str, x: str, y: str, polygons: DataF
     """Containing polygon of each point, else the nearest one, with the way it was found."""
     inside = cut_lineage(points_in_polygons(points, point, x, y, polygons, polygon, rings, cell))
     outside = points.join(inside, point, "left_anti")
-    near = nearest_segments(outside, point, x, y, polygon_segments(polygons, polygon, rings), polygon, cell)
+    near = nearest_segments(outside, point, x, y, polygon_segments(polygons, polygon, rings), polygon)
     return inside.select(point, polygon, F.lit("within").alias("how")).unionByName(
         near.select(point, polygon, F.lit("nearest").alias("how")))
 

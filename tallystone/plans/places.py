@@ -57,7 +57,7 @@ def nearest_candidate(t):
     e = lambda i: F.get("embedding", F.lit(i)).cast("double")
     points = t.embeddings.select("vec_id", "label", e(0).alias("a"), e(1).alias("b"))
     spots = t.embeddings.select(F.col("vec_id").alias("candidate"), "label", e(2).alias("x1"), e(3).alias("y1"), e(2).alias("x2"), e(3).alias("y2"))
-    near = spatial.nearest_segments(points, "vec_id", "a", "b", spots, "candidate", 0.02, ["label"])
+    near = spatial.nearest_segments(points, "vec_id", "a", "b", spots, "candidate", ["label"])
     return near.withColumn("distance", F.round("distance", 9))
 
 

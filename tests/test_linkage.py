@@ -1,35 +1,69 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallystone.functions import text
-from tallystone.functions.similarity import jaro_similarity, osa_distance
+from tallystone.functions import similarity, text
 from tallystone.operators import joins, linkage, pairs
 from tallystone.operators.components import components
 from tallystone.operators.panel import patch_rows
 
 
+def osa_distance(a, b):
+    """Brute force, letter by letter."""
+    before, last = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            best = min(row[j - 1] + 1, last[j] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, before[j - 2] + 1)
+            row.append(best)
+        before, last = last, row
+    return last[-1]
+
+
+def jaro_similarity(a, b):
+    """Brute force, letter by letter."""
+    if a == b or not a or not b:
+        return float(a == b)
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    taken, matched = [False] * len(b), []
+    for i, x in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not taken[j] and b[j] == x:
+                taken[j] = True
+                matched.append(x)
+                break
+    m = len(matched)
+    swapped = sum(x != y for x, y in zip(matched, [y for j, y in enumerate(b) if taken[j]], strict=True)) / 2
+    return (m / len(a) + m / len(b) + (m - swapped) / m) / 3 if m else 0.0
+
+
+def measured(measure, pairs_of):
+    a, b = (similarity.Letters([p[k] for p in pairs_of]) for k in (0, 1))
+    every = np.arange(len(pairs_of))
+    return similarity.in_batches(measure, a, every, b, every).tolist()
+
+
 def test_osa_is_not_unrestricted():
-    assert osa_distance("ca", "abc") == 3
-    assert osa_distance("ab", "ba") == 1
-    assert osa_distance("", "abc") == 3
+    assert measured(similarity.osa_distances, [("ca", "abc"), ("ab", "ba"), ("", "abc"), ("abc", ""), ("", "")]) == [3, 1, 3, 3, 0]
 
 
 def test_jaro_known_values():
-    assert jaro_similarity("MARTHA", "MARHTA") == pytest.approx(0.944444, abs=1e-6)
-    assert jaro_similarity("DIXON", "DICKSONX") == pytest.approx(0.766667, abs=1e-6)
-    assert jaro_similarity("", "x") == 0.0
+    got = measured(similarity.jaro_similarities, [("MARTHA", "MARHTA"), ("DIXON", "DICKSONX"), ("a", "x"), ("same", "same")])
+    assert got == pytest.approx([0.944444, 0.766667, 0.0, 1.0], abs=1e-6)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text("abc", max_size=8), st.text("abc", max_size=8))
-def test_osa_between_zero_and_longer(a, b):
-    d = osa_distance(a, b)
-    assert d == osa_distance(b, a)
-    assert abs(len(a) - len(b)) <= d <= max(len(a), len(b))
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("abc☃", max_size=8), st.text("abc☃", max_size=9)), min_size=1, max_size=30))
+def test_batches_equal_letter_by_letter(many):
+    assert measured(similarity.osa_distances, many) == [osa_distance(a, b) for a, b in many]
+    filled = [(a, b) for a, b in many if a and b]
+    assert measured(similarity.jaro_similarities, filled) == pytest.approx([jaro_similarity(a, b) for a, b in filled], abs=1e-12)
 
 
 def random_names(seed, n):
@@ -53,35 +87,57 @@ def random_names(seed, n):
     return sorted(x for x in out if x)
 
 
-def test_edit_pairs_equal_brute_force(spark):
-    rows = [(b, s) for b in (1, 2) for s in random_names(b, 90)]
-    rows += rows[:20] + [(1, None), (None, "abcabc")]
-    df = spark.createDataFrame(rows, "b int, s string")
-    got = {(r.b, r.text_a, r.text_b, r.distance) for r in pairs.edit_similar_pairs(df, ["b"], "s", 0.8).collect()}
-    want = set()
-    for b in (1, 2):
-        names = sorted({s for k, s in rows if k == b and s})
-        for i, x in enumerate(names):
-            for y in names[i + 1:]:
-                d = osa_distance(x, y)
-                if 1 - d / max(len(x), len(y)) >= 0.8 - 1e-12:
-                    want.add((b, x, y, d))
-    assert want and got == want
-
-
-@pytest.mark.parametrize("limit", [0.1, 0.25])
-def test_jaro_pairs_equal_brute_force(spark, limit):
-    rows = [(b, s) for b in ("x", "y") for s in random_names(b, 60)]
-    df = spark.createDataFrame(rows, "b string, s string")
-    got = {(r.b, r.text_a, r.text_b) for r in pairs.jaro_similar_pairs(df, ["b"], "s", limit).collect()}
-    want = set()
-    for b in "xy":
-        names = sorted({s for k, s in rows if k == b})
-        for i, x in enumerate(names):
-            for y in names[i + 1:]:
-                if 0 < 1 - jaro_similarity(x, y) <= limit + 1e-12:
-                    want.add((b, x, y))
-    assert want and got == want
+def brute_pairs(rows, similar):
+    out = set()
+    for b in {k for k, s in rows if k is not None}:
+        names = sorted({s for k, s in rows if k == b and s is not None})
+        out |= {(b, x, y) for i, x in enumerate(names) for y in names[i + 1:] if similar(x, y)}
+    return out
+
+
+# one block in one task; blocks cut into tiles of few texts; and, for edits, the segment index
+@pytest.mark.parametrize("dense", [4096, 40])
+@pytest.mark.parametrize("min_sim", [0.5, 0.8, 1.0])
+def test_edit_pairs_equal_brute_force(spark, monkeypatch, dense, min_sim):
+    monkeypatch.setattr(pairs, "DENSE", dense)
+    monkeypatch.setattr(pairs, "TILE", min(dense, 1024) // 4)
+    rows = [(b, s) for b in (1, 2) for s in random_names(b, 90)] + [(3, "ab"), (3, "ba"), (4, "x" * 700), (4, "x" * 690 + "y" * 10)]
+    rows += rows[:20] + [(1, None), (None, "abcabc"), (2, "")]
+    found = pairs.edit_similar_pairs(spark.createDataFrame(rows, "b int, s string").repartition(3), ["b"], "s", min_sim).collect()
+    got = {(r.b, r.text_a, r.text_b) for r in found}
+    want = brute_pairs(rows, lambda x, y: osa_distance(x, y) <= int(max(len(x), len(y)) * (1 - min_sim) + 1e-9))
+    assert len(got) == len(found) and got == want and (want or min_sim == 1)
+    assert all(r.distance == osa_distance(r.text_a, r.text_b) for r in found)
+
+
+@pytest.mark.parametrize("dense", [4096, 40])
+@pytest.mark.parametrize("limit", [0.1, 0.25, 0.5])
+def test_jaro_pairs_equal_brute_force(spark, monkeypatch, dense, limit):
+    monkeypatch.setattr(pairs, "DENSE", dense)
+    monkeypatch.setattr(pairs, "TILE", min(dense, 1024) // 4)
+    rows = [(b, s) for b in ("x", "y") for s in random_names(b, 60)] + [("z", ""), ("z", "q")]
+    found = pairs.jaro_similar_pairs(spark.createDataFrame(rows, "b string, s string"), ["b"], "s", limit).collect()
+    got = {(r.b, r.text_a, r.text_b) for r in found}
+    assert len(got) == len(found) and got == brute_pairs(rows, lambda x, y: x != "" and y != "" and 0 < 1 - jaro_similarity(x, y) <= limit + 1e-12)
+
+
+def edited(s, rng):
+    """One random edit, a swap of neighbours among them."""
+    i, kind = rng.randrange(len(s) - 1), rng.randrange(4)
+    return [s[:i] + s[i + 1:], s[:i] + "é" + s[i:], s[:i] + "é" + s[i + 1:], s[:i] + s[i + 1] + s[i] + s[i + 2:]][kind]
+
+
+def test_one_block_of_twenty_thousand_names(spark):
+    rng = random.Random(6)
+    plain = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(12, 18))) for _ in range(19_000)]
+    planted = [(s, edited(edited(s, rng), rng)) for s in plain[:1000]]
+    names = plain + [b for _, b in planted]
+    found = pairs.edit_similar_pairs(spark.createDataFrame([("b", s) for s in names], "b string, s string"), ["b"], "s", 0.8).collect()
+    got = {(r.text_a, r.text_b): r.distance for r in found}
+    for a, b in planted:
+        if a != b and osa_distance(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
+            assert got[min(a, b), max(a, b)] == osa_distance(a, b)
+    assert all(osa_distance(a, b) == d for (a, b), d in got.items())
 
 
 def test_components_match_union_find(spark):
