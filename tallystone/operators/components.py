@@ -42,6 +42,8 @@ def components(pairs: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct()
     edges = cut_lineage(edges)
     seen = _fingerprint(edges)
+    if not seen[0]:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(max_rounds):
         edges = cut_lineage(_fold_down(_link_to_least(edges).distinct()).distinct())
         now = _fingerprint(edges)
