@@ -2,57 +2,94 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.operators.skew import salted_join
-from tallystone.session import cut_lineage
 
-LETTERS = 6
+#: Sentences in one automaton, and revisions that stream past it, before an article is split.
+PACK_SENTENCES = 20_000
+PACK_REVISIONS = 2_000
 
 
-def _word_anchors(words: Column, k: int) -> Column:
-    count = F.size(words) - k + 1
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " ")))
+class _Search:
+    """Sentences not yet found, in an automaton that reads a text once for all of them."""
+
+    def __init__(self, sentences: list[str]):
+        self.open = set(sentences)
+        self._build()
+
+    def _build(self) -> None:
+        self.machine = ahocorasick.Automaton()
+        for sentence in self.open:
+            self.machine.add_word(sentence, sentence)
+        self.machine.make_automaton()
+        self.built = len(self.open)
+
+    def first_hits(self, text: str) -> list[str]:
+        """Sentences that stand in the text for the first time."""
+        if not self.open:
+            return []
+        found = {s for _, s in self.machine.iter(text)} & self.open
+        self.open -= found
+        if self.open and 2 * len(self.open) < self.built:
+            self._build()
+        return sorted(found)
 
 
 def first_seen(sentences: DataFrame, revisions: DataFrame, article: str, sentence: str, text: str, when: str,
                keep: Sequence[str] = ()) -> DataFrame:
     """Earliest revision of the article that literally contains the sentence, NULLs if none does.
 
-    The words inside a sentence, without its first and last, must stand in the
-    text as whole words. Up to three of them in a row form the join key, so no
-    sentence is compared with every revision; candidates are then checked with
-    ``contains``. Sentences of one or two words are keyed on their letters.
+    The sentences of an article form one automaton, and its revisions stream past it in order, so
+    each text moves once and is read once, however many sentences are asked for; a sentence leaves at its first hit. An article with
+    very many revisions or sentences is split over several tasks by their numbers, and the first hits of its parts are compared.
     """
     asked = sentences.select(article, sentence).where(F.length(sentence) > 0).distinct()
-    inner = F.size(F.split(sentence, " ")) - 2
-    keyed = asked.withColumn("_kind", F.when(inner >= 1, F.least(inner, F.lit(3))).otherwise(
-        -F.least(F.length(sentence), F.lit(LETTERS))))
-    keyed = keyed.withColumn("_anchor", F.when(F.col("_kind") > 0, F.array_join(
-        F.slice(F.split(sentence, " "), F.lit(2), F.greatest("_kind", F.lit(1))), " ")).otherwise(
-        F.substring(F.col(sentence), F.lit(1), F.abs("_kind"))))
-    keyed = cut_lineage(keyed)  # read for the keys, the kinds and the final answer
-    asked = keyed.select(article, sentence)
-
-    kinds = keyed.select(article, "_kind").distinct()
-    asked_of = salted_join(revisions, kinds, [article], [when]).select(article, when, "_kind", text)
-    # words and letters become columns of their own before the positions read them: a text is split once
-    split = asked_of.select(article, when, "_kind", F.split(text, " ").alias("_words"),
-                            F.when(F.col("_kind") < 0, F.split(text, "")).alias("_letters"))
-    words = F.col("_words")
-    n_letters = F.size("_letters") + F.col("_kind") + 1
-    letter_starts = F.when(n_letters > 0, F.sequence(F.lit(1), n_letters)).otherwise(F.array().cast("array<int>"))
-    by_letters = F.array_distinct(F.transform(letter_starts, lambda i: F.array_join(F.slice("_letters", i, F.abs("_kind")), "")))
-    grams = F.when(F.col("_kind") == 3, _word_anchors(words, 3)).when(F.col("_kind") == 2, _word_anchors(words, 2)).when(
-        F.col("_kind") == 1, F.array_distinct(words)).otherwise(by_letters)
-    anchored = split.select(article, when, "_kind", F.explode(grams).alias("_anchor"))
-
-    hits = salted_join(anchored, keyed, [article, "_kind", "_anchor"], [when]).select(article, when, sentence)
-    wanted = revisions.select(article, when, text, *keep)
-    checked = salted_join(hits, wanted, [article, when], [sentence]).where(F.contains(F.col(text), F.col(sentence)))
-    first = checked.groupBy(article, sentence).agg(F.min(F.struct(when, *keep)).alias("_first"))
+    packs = asked.groupBy(article).agg(F.ceil(F.count("*") / PACK_SENTENCES).cast("int").alias("_packs"))
+    lanes = revisions.groupBy(article).agg(F.ceil(F.count("*") / PACK_REVISIONS).cast("int").alias("_lanes"))
+    plan = packs.join(lanes, article)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    listed = salted_join(asked, plan, [article], [sentence])
+    listed = listed.withColumn("_pack", F.pmod(F.xxhash64(sentence), F.col("_packs")).cast("int")).withColumn("_lane", every("_lanes"))
+    read = salted_join(revisions.select(article, F.col(when).alias("_when"), F.col(text).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+                       .where(F.col("_text").isNotNull()), plan, [article], ["_when", "_text"])
+    read = read.withColumn("_lane", F.pmod(F.xxhash64("_when", "_text"), F.col("_lanes")).cast("int")).withColumn("_pack", every("_packs"))
+    cols = [article, "_pack", "_lane", "_when", "_text", *[f"_keep_{c}" for c in keep]]
+    rows = listed.select(article, "_pack", "_lane", F.col(sentence).alias("_text"), F.lit(0).alias("_kind")).unionByName(
+        read.select(*cols, F.lit(1).alias("_kind")), allowMissingColumns=True)
+    group = [article, "_pack", "_lane"]
+    order = [*group, "_kind", "_when", *[f"_keep_{c}" for c in keep]]
+    sorted_rows = rows.repartition(*group).sortWithinPartitions(*order)
+    kinds = dict(sorted_rows.dtypes)
+    hit_columns = [article, "_when", *[f"_keep_{c}" for c in keep]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, waiting, search = None, [], None
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in group), strict=True))
+            texts, sides = batch.column("_text"), batch.column("_kind").to_pylist()
+            at, found = [], []
+            for i, (key, side) in enumerate(zip(keys, sides, strict=True)):
+                if key != current:
+                    current, waiting, search = key, [], None
+                if side == 0:
+                    waiting.append(texts[i].as_py())
+                    continue
+                if search is None:
+                    search = _Search(waiting)
+                if search.open:
+                    hits = search.first_hits(texts[i].as_py())
+                    at += [i] * len(hits)
+                    found += hits
+            if at:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in hit_columns), pa.array(found, pa.string())], names=[*hit_columns, "_sentence"])
+
+    hits = sorted_rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in hit_columns) + ", _sentence string")
+    first = hits.groupBy(article, F.col("_sentence").alias(sentence)).agg(
+        F.min(F.struct(F.col("_when").alias(when), *[F.col(f"_keep_{c}").alias(c) for c in keep])).alias("_first"))
     return asked.join(first, [article, sentence], "left").select(article, sentence, "_first.*")

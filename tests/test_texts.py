@@ -57,7 +57,10 @@ def test_marked_text(spark):
     assert new[1] == "<mark>One</mark> two, three four <mark>five</mark>"
 
 
-def test_first_seen_equals_scan(spark):
+@pytest.mark.parametrize("pack", [(20_000, 2_000), (3, 5)])
+def test_first_seen_equals_scan(spark, monkeypatch, pack):
+    monkeypatch.setattr(provenance, "PACK_SENTENCES", pack[0])
+    monkeypatch.setattr(provenance, "PACK_REVISIONS", pack[1])
     rng = random.Random(2)
     texts = [(a, i, " ".join(rng.choice(["ab", "b", "cab", "a"]) for _ in range(rng.randint(0, 12)))) for a in "xy" for i in range(40)]
     asked = {(a, " ".join(rng.choice(["ab", "b", "ca", "a"]) for _ in range(n))) for a in "xyz" for n in (1, 1, 2, 3, 3, 4, 5, 6) for _ in range(6)}
@@ -72,6 +75,18 @@ def test_first_seen_equals_scan(spark):
     assert got == want
 
 
+def test_first_seen_in_long_revisions_and_edge_rows(spark):
+    base = [f"w{i % 997}x{i % 31}" for i in range(16_000)]
+    texts = [("a", k, " ".join([*base[: 4000 * k], f"new{k} words here", *base[4000 * k :]])) for k in range(4)]
+    texts += [("a", 1, "tie of two"), ("a", 1, None), ("a", None, None), ("b", 7, ""), (None, 1, "tie of two")]
+    asked = [("a", f"new{k} words") for k in range(5)] + [("a", "tie of"), ("a", "tie of"), ("a", ""), ("a", None), ("b", "x"), (None, "tie"), ("c", "w1x1")]
+    rev = spark.createDataFrame([(a, t, s, f"u{k}") for k, (a, t, s) in enumerate(texts)], "art string, ts int, body string, who string")
+    sen = spark.createDataFrame(asked, "art string, s string")
+    got = {(r.art, r.s): (r.ts, r.who) for r in provenance.first_seen(sen, rev, "art", "s", "body", "ts", ["who"]).collect()}
+    assert got == {**{("a", f"new{k} words"): (k, f"u{k}") for k in range(4)}, ("a", "new4 words"): (None, None), ("a", "tie of"): (1, "u4"),
+                   ("b", "x"): (None, None), (None, "tie"): (None, None), ("c", "w1x1"): (None, None)}
+
+
 def test_fragments(spark):
     raw = ("== Head ==\n'''Bold''' words stand here in line.<ref name=a>gone</ref> Short one.\n"
            "{{Box|{{inner|x}}|y}}One two three [[File:a.jpg|b]]four five six! One two three four five six")
