@@ -10,7 +10,7 @@ import numpy as np
 BLOCK = 1 << 20
 
 
-def _blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+def blocks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of items whose sizes add up to about a block, one item at least."""
     ends, low = np.cumsum(sizes), 0
     while low < len(sizes):
@@ -42,7 +42,7 @@ def _pieces(own: np.ndarray, pair: np.ndarray, other: np.ndarray, first: np.ndar
             n_pairs: int, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per pair: does the other outline meet an edge, is a piece of an edge inside it, is a piece not on it."""
     met, inside, off = (np.zeros(n_pairs, bool) for _ in range(3))
-    for low, high in _blocks(count[pair]):
+    for low, high in blocks(count[pair]):
         edge, of = own[low:high], pair[low:high]
         i, j = _beside(of, first, count)
         p, d, q, e = edge[i, :2], edge[i, 2:] - edge[i, :2], other[j, :2], other[j, 2:] - other[j, :2]
@@ -61,7 +61,7 @@ def _pieces(own: np.ndarray, pair: np.ndarray, other: np.ndarray, first: np.ndar
         real = (at[1:] == at[:-1]) & ((cut[1:] - cut[:-1]) * length[at[1:]] > 4 * eps)
         at, half = at[1:][real], ((cut[1:] + cut[:-1]) / 2)[real]
         middle = edge[at, :2] + half[:, None] * (edge[at, 2:] - edge[at, :2])
-        for a, b in _blocks(count[of[at]]):
+        for a, b in blocks(count[of[at]]):
             point, owner = middle[a:b], of[at[a:b]]
             i, j = _beside(owner, first, count)
             q, e = other[j, :2], other[j, 2:] - other[j, :2]

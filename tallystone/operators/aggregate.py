@@ -94,6 +94,17 @@ def transition_matrix(df: DataFrame, before: str, after: str, levels: Sequence[s
         F.sum(F.when(F.col(after) == v, F.col("_n")).otherwise(0)).alias(names[v]) for v in levels])
 
 
+def categories(df: DataFrame, column: str, limit: int = 1000) -> list:
+    """The distinct values of a column, sorted; more than ``limit`` of them are an error, never a shorter list.
+
+    The first pass of a table whose columns come from the data; at most ``limit + 1`` values come to the driver.
+    """
+    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"{column} has more than {limit} values; keep them as rows or raise the limit")
+    return sorted(found)
+
+
 def wide(df: DataFrame, keys: Sequence[str], name: str, value: Column, values: Mapping[str, str]) -> DataFrame:
     """Long to wide for known values (``value -> column name``), in one aggregation."""
     return df.groupBy(*keys).agg(*[F.sum(F.when(F.col(name) == v, value)).alias(c) for v, c in values.items()])

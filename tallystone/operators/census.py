@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions import numbers, scoring
-from tallystone.operators.shape import decode, select_present
+from tallystone.operators.shape import area_codes, decode, select_present
 from tallystone.operators.skew import salted_join
 
+# Column names of the census file.
 DWELLING = ["idep", "iprov", "imun", "i00"]
 PERSON = [*DWELLING, "p24_parentes", "p25_sexo", "p26_edad", "idioma_mat", "p32_pueblo_per", "p32_pueblos",
           "p331_idiohab1_cod", "p332_idiohab2_cod", "p333_idiohab3_cod", "p341_idiomat_cod"]
@@ -25,10 +26,7 @@ def in_area(codes: Sequence[str]) -> Column:
     The department set comes first and alone, which lets the scan skip the
     partitions of all other departments.
     """
-    padded = [str(c).zfill(2) if len(str(c)) == 1 else str(c) for c in codes]
-    if any(len(c) not in (2, 4, 6) for c in padded):
-        raise ValueError("area codes have 2, 4 or 6 digits")
-    parts = [[int(c[i:i + 2]) for i in range(0, len(c), 2)] for c in padded]
+    parts = [[int(c[i:i + 2]) for i in range(0, len(c), 2)] for c in area_codes(codes)]
     exact = F.lit(False)
     for p in parts:
         one = F.lit(True)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallystone.operators.aggregate import categories
 
 def first_and_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str) -> DataFrame:
     """First and last value per key as partial aggregates, whatever the group size."""
@@ -24,8 +25,13 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: b
     return row.select(*keys, "_row.*")
 
 
-def presence_matrix(df: DataFrame, key: str, period: str, periods: Mapping[str, object]) -> DataFrame:
-    """One boolean per period (``column name -> period value``) and their count."""
+def presence_matrix(df: DataFrame, key: str, period: str, periods: Mapping[str, object] | None = None, limit: int = 1000) -> DataFrame:
+    """One boolean per period (``column name -> period value``) and their count.
+
+    Without ``periods`` there is a column for every value in the data, named by it; more than ``limit`` are refused.
+    """
+    if periods is None:
+        periods = {str(v): v for v in categories(df, period, limit)}
     flags = {c: F.coalesce(F.bool_or(F.col(period) == F.lit(v)), F.lit(False)) for c, v in periods.items()}
     wide = df.groupBy(key).agg(*[e.alias(c) for c, e in flags.items()])
     n = sum((F.col(c).cast("int") for c in periods), F.lit(0))

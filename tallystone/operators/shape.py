@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions.nulls import row_sum
 from tallystone.functions.text import snake_case, snake_name
+from tallystone.operators.aggregate import categories
 from tallystone.operators.ordered import forward_fill
 
 
@@ -57,14 +58,20 @@ def zap_missing(df: DataFrame, codes: Mapping[str, Sequence[int]], labels: Mappi
     return clean.withColumns({f"{c}_label": F.when(F.col(c).isNotNull(), decode(F.col(c), m)) for c, m in labels.items()})
 
 
+def area_codes(codes: Sequence[str]) -> list[str]:
+    """Codes as text of 2, 4 or 6 digits; a single digit gets a zero in front, nothing else does."""
+    padded = [str(c).zfill(2) for c in codes]
+    if any(len(c) not in (2, 4, 6) or not c.isdigit() for c in padded):
+        raise ValueError("area codes have 2, 4 or 6 digits")
+    return padded
+
+
 def in_areas(geo: Column, codes: Sequence[str]) -> Column:
     """Filter on codes of mixed length: 2, 4 or 6 digits name nested areas.
 
     A plain OR of prefix sets, which the scan can evaluate; nothing is joined.
     """
-    padded = [c if len(c) % 2 == 0 else "0" + c for c in codes]
-    if any(len(c) not in (2, 4, 6) or not c.isdigit() for c in padded):
-        raise ValueError("area codes have 2, 4 or 6 digits")
+    padded = area_codes(codes)
     keep = F.lit(False)
     for n in (2, 4, 6):
         level = [c for c in padded if len(c) == n]
@@ -87,9 +94,16 @@ def simplify_arrays(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def expand_slots(df: DataFrame, key: str, items: str, lookup: DataFrame, lookup_key: str,
-                 attributes: Sequence[str], slots: int = 2, prefix: str = "slot") -> DataFrame:
-    """First ``slots`` array elements as columns, each with its attributes from ``lookup``."""
-    exploded = df.select(key, F.posexplode(items).alias("_pos", lookup_key)).where(F.col("_pos") < slots)
+                 attributes: Sequence[str], slots: int | None = None, prefix: str = "slot", limit: int = 100) -> DataFrame:
+    """Array elements as columns by position, each with its attributes from ``lookup``.
+
+    The longest array sets the number of columns. Arrays longer than ``slots`` (or than ``limit``, without it) are an error.
+    """
+    longest = df.agg(F.max(F.size(items))).first()[0] or 0
+    if longest > (limit if slots is None else slots):
+        raise ValueError(f"{items} has arrays of {longest} elements")
+    slots = max(longest, 1) if slots is None else slots
+    exploded = df.select(key, F.posexplode(items).alias("_pos", lookup_key))
     known = exploded.join(lookup, lookup_key, "left")
     aggs = []
     for i in range(slots):
@@ -138,7 +152,12 @@ def label_sections(df: DataFrame, order: Sequence[Column], header: Column, label
     return forward_fill(df, [], order, {out: F.when(header, label)})
 
 
-def split_sections(df: DataFrame, section: str, shared: Column, sections: Sequence[str]) -> DataFrame:
-    """Sub-tables by section, each of them also keeping the shared (total, tail) rows."""
+def split_sections(df: DataFrame, section: str, shared: Column, sections: Sequence[str] | None = None, limit: int = 1000) -> DataFrame:
+    """Sub-tables by section, each of them also keeping the shared (total, tail) rows.
+
+    Without ``sections`` all of the data, ``limit`` at most.
+    """
+    if sections is None:
+        sections = categories(df, section, limit)
     target = F.when(shared, F.array(*[F.lit(s) for s in sections])).otherwise(F.array(F.col(section)))
     return df.withColumn(section, F.explode(target)).where(F.col(section).isin(list(sections)))

@@ -8,17 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.functions.outlines import boundaries_touch
+from tallystone.functions.outlines import BLOCK, blocks, boundaries_touch
 from tallystone.operators.skew import salted_join
-from tallystone.session import cut_lineage
+from tallystone.session import cut_lineage, shuffle_width
 
 #: Segments in a leaf of the tree over segments, and how often a node can be cut into 8 by 8.
 LEAF_SIZE = 32
 LEVELS = 9
+#: Edges in a cell before it is cut, in a cell that is compared whole, and in a task.
+HOT_EDGES, FEW, TASK_EDGES = 2048, 64, 1_000_000
 
 def ring_edges(rings: Column) -> Column:
     """All edges of all rings, each ring closed."""
@@ -178,32 +182,105 @@ def assign_points(points: DataFrame, point: str, x: str, y: str, polygons: DataF
         near.select(point, polygon, F.lit("nearest").alias("how")))
 
 
+def _meeting_boxes(cells: np.ndarray, owner: np.ndarray, box: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Owners of boxes (xlo, xhi, ylo, yhi) that meet inside one cell, lesser one first, each pair once.
+
+    Small cells are taken together, pairs of places by the size of the cell; a large one is swept from left to right.
+    """
+    order = np.lexsort((box[:, 0], cells))
+    cells, owner, box = cells[order], owner[order], box[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(cells)))
+    found = []
+
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        p, q = box[i], box[j]
+        hit = ((owner[i] != owner[j]) & (p[:, 0] <= q[:, 1] + eps) & (q[:, 0] <= p[:, 1] + eps) & (p[:, 2] <= q[:, 3] + eps) & (q[:, 2] <= p[:, 3] + eps))
+        x, y = owner[i[hit]], owner[j[hit]]
+        found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]):
+        i, j = np.triu_indices(n, 1)
+        starts = first[sizes == n]
+        step = max(1, BLOCK // len(i))
+        for low in range(0, len(starts), step):
+            at = starts[low : low + step, None]
+            meet((at + i).ravel(), (at + j).ravel())
+    for at, n in zip(first[sizes > FEW], sizes[sizes > FEW], strict=True):
+        left = box[at : at + n, 0]
+        until = np.searchsorted(left, box[at : at + n, 1] + eps, "right") - np.arange(n) - 1
+        for low, high in blocks(until):
+            i = np.repeat(np.arange(low, high), until[low:high])
+            meet(at + i, at + i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(until[low:high]) - until[low:high], until[low:high]))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _in_cells(edges: DataFrame, cell: float, eps: float) -> DataFrame:
+    """Edges beside the cells they pass through: row by row of cells, only the columns between entry and exit.
+
+    Cells with more than ``HOT_EDGES`` edges are cut into as many cells as bring them below, and their edges into those they reach.
+    """
+    low = lambda c: F.least(f"{c}1", f"{c}2")
+    high = lambda c: F.greatest(f"{c}1", f"{c}2")
+
+    def passing(df: DataFrame, size: Column, x: str, y: str, within: tuple[Column, Column, Column, Column] | None) -> DataFrame:
+        """Add the column ``x`` and row ``y`` of each cell of width ``size`` on the edge's way."""
+        at = lambda v: F.floor(v / size).cast("long")
+        bound = within or (F.lit(None),) * 4
+        rows = F.sequence(F.greatest(at(low("y") - eps), bound[2]), F.least(at(high("y") + eps), bound[3]))
+        df = df.withColumn(y, F.explode(rows))
+        bottom, top = F.greatest(low("y"), F.col(y) * size - eps), F.least(high("y"), (F.col(y) + 1) * size + eps)
+        slope = F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+        cross = lambda v: F.coalesce(F.col("x1") + (v - F.col("y1")) * slope, F.col("x1"))
+        flat = F.col("y1") == F.col("y2")
+        left = F.when(flat, low("x")).otherwise(F.greatest(low("x"), F.least(cross(bottom), cross(top))))
+        right = F.when(flat, high("x")).otherwise(F.least(high("x"), F.greatest(cross(bottom), cross(top))))
+        return df.withColumn(x, F.explode(F.sequence(F.greatest(at(left - eps), bound[0]), F.greatest(F.least(at(right + eps), bound[1]), F.greatest(at(left - eps), bound[0])))))
+
+    placed = passing(edges, F.lit(cell), "_cx", "_cy", None)
+    hot = cut_lineage(placed.groupBy("_cx", "_cy").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_EDGES))
+    if hot.isEmpty():
+        return placed.select("*", F.xxhash64("_cx", "_cy").alias("_cell")).drop("_cx", "_cy")
+    parts = F.ceil(F.sqrt(F.col("_n") / HOT_EDGES)).cast("long")
+    split = placed.join(hot, ["_cx", "_cy"], "left").withColumn("_parts", F.coalesce(parts, F.lit(1).cast("long"))).drop("_n")
+    cool = split.where("_parts = 1").select(*edges.columns, F.xxhash64("_cx", "_cy").alias("_cell"))
+    size, n = F.lit(cell) / F.col("_parts"), F.col("_parts")
+    inside = (F.col("_cx") * n, (F.col("_cx") + 1) * n - 1, F.col("_cy") * n, (F.col("_cy") + 1) * n - 1)
+    # an edge may miss the rows of the cell by the margin only
+    finer = passing(split.where("_parts > 1").where((F.floor((low("y") - eps) / size) <= inside[3]) & (F.floor((high("y") + eps) / size) >= inside[2])), size, "_fx", "_fy", inside)
+    return cool.unionByName(finer.select(*edges.columns, F.xxhash64("_parts", "_fx", "_fy").alias("_cell")))
+
+
 def touching(polygons: DataFrame, polygon: str, rings: str, cell: float, digits: int = 9) -> DataFrame:
     """Pairs of polygons whose boundaries share a point (within ``10**-digits``) and whose interiors do not meet.
 
-    Candidates are pairs with edges whose boxes meet in a grid cell of width ``cell``. They are settled on
-    their edges: each edge is cut where the other boundary meets it, and no piece may lie inside the other.
+    Candidates are pairs with edges whose boxes meet in a cell of a grid of width ``cell``, which a task finds for many cells at once
+    (``_meeting_boxes``); no row is made per pair of edges. They are settled on their edges: each edge is cut where the
+    other boundary meets it, and no piece may lie inside the other.
     """
     eps = 10.0**-digits
     shapes = polygons.select(polygon, ring_edges(F.col(rings)).alias("_edges"))
-    edges = shapes.select(polygon, F.explode("_edges").alias("_e")).select(
-        polygon, *[f(f"_e.{c}1", f"_e.{c}2").alias(f"_{c}{n}") for c in "xy" for n, f in (("lo", F.least), ("hi", F.greatest))])
-
-    def cells(c: str) -> Column:
-        return F.sequence(_cell(F.col(f"_{c}lo") - eps, cell), _cell(F.col(f"_{c}hi") + eps, cell))
-
-    placed = edges.withColumn("_cx", F.explode(cells("x"))).withColumn("_cy", F.explode(cells("y")))
-    other = placed.select("_cx", "_cy", F.col(polygon).alias("poly_b"), *[F.col(f"_{c}{n}").alias(f"_b{c}{n}") for c in "xy" for n in ("lo", "hi")])
-    boxes = F.lit(True)
-    for c in "xy":
-        boxes = boxes & (F.col(f"_{c}lo") <= F.col(f"_b{c}hi") + eps) & (F.col(f"_b{c}lo") <= F.col(f"_{c}hi") + eps)
-    pairs = placed.join(other.hint("merge"), ["_cx", "_cy"]).where((F.col(polygon) < F.col("poly_b")) & boxes).select(
-        F.col(polygon).alias("poly_a"), "poly_b").distinct()
+    edges = shapes.select(polygon, F.explode("_edges").alias("_e")).select(polygon, *[F.col(f"_e.{c}").cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    placed = _in_cells(edges, cell, eps)
+    kind = shapes.schema[polygon].dataType.simpleString()
+
+    def find(table: pa.Table) -> pa.Table:
+        names = table.column(polygon).combine_chunks().dictionary_encode()
+        x1, y1, x2, y2, cells = (table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2", "_cell"))
+        box = np.stack([np.minimum(x1, x2), np.maximum(x1, x2), np.minimum(y1, y2), np.maximum(y1, y2)], 1)
+        i, j = _meeting_boxes(cells, names.indices.to_numpy().astype(np.int64), box, eps)
+        return pa.Table.from_arrays([names.dictionary.take(pa.array(i)), names.dictionary.take(pa.array(j))], names=["poly_a", "poly_b"])
+
+    width = shuffle_width(polygons.sparkSession)
+    load = placed.agg(F.count("*")).first()[0]
+    bundle = F.pmod(F.col("_cell"), F.lit(max(width, load // TASK_EDGES)))
+    met = placed.groupBy(bundle).applyInArrow(find, f"poly_a {kind}, poly_b {kind}")
+    pairs = met.select(F.least("poly_a", "poly_b").alias("poly_a"), F.greatest("poly_a", "poly_b").alias("poly_b")).distinct()
     flat = shapes.select(polygon, F.flatten(F.transform("_edges", lambda e: F.array(
         *[e[c].cast("double") for c in ("x1", "y1", "x2", "y2")]))).alias("_flat"))
     both = pairs.join(flat.select(F.col(polygon).alias("poly_a"), F.col("_flat").alias("_a")), "poly_a").join(
         flat.select(F.col(polygon).alias("poly_b"), F.col("_flat").alias("_b")), "poly_b")
-    kind = shapes.schema[polygon].dataType.simpleString()
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -288,15 +288,15 @@ def metadata_overlay(t):
 
 
 @query("missing_titles", """
-with a as (select distinct p_name || ' ' || p_type title, p_brand target from part where p_size < 5),
-e as (select distinct p_name || ' ' || p_type title from part where p_size > 48)
+with a as (select distinct p_name || ' ' || p_type title, p_brand target from part where p_size <= 40),
+e as (select distinct p_name || ' ' || p_type title from part where p_size > 40)
 select title, target, 'https://example.org/wiki/' || replace(title, ' ', '+') url, '#REDIRECT [[' || target || ']]' body from a where title not in (select title from e)
 """)
 def missing_titles(t):
     """Redirect rows for alias titles that do not exist yet."""
     title = F.concat_ws(" ", "p_name", "p_type").alias("title")
-    aliases = t.part.where("p_size < 5").select(title, F.col("p_brand").alias("target")).distinct()
-    return citations.redirects(aliases, t.part.where("p_size > 48").select(title), "https://example.org/wiki/")
+    aliases = t.part.where("p_size <= 40").select(title, F.col("p_brand").alias("target")).distinct()
+    return citations.redirects(aliases, t.part.where("p_size > 40").select(title), "https://example.org/wiki/")
 
 
 @query("title_match", r"""

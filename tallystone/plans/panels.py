@@ -8,22 +8,20 @@ from tallystone.functions.nulls import cents
 from tallystone.operators import joins, ordered, panel
 from tallystone.registry import query
 
-DAYS = {f"d{d:02d}": d for d in range(1, 31)}
-
-
 def _purchase_days(t):
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01")) + 1
     return t.events.where(F.col("event_type") == "purchase").select("user_id", day.alias("day")).distinct()
 
 
-@query("presence_matrix", f"""
-with p as (select distinct user_id, date_diff('day', date '2024-01-01', ts::date) + 1 d from events where event_type = 'purchase')
-select user_id, {', '.join(f"bool_or(d = {d}) {c}" for c, d in DAYS.items())},
-  cast({' + '.join(f"max(case when d = {d} then 1 else 0 end)" for d in DAYS.values())} as int) n_periods
-from p group by 1
+@query("presence_matrix", """
+with p as (select distinct user_id, date_diff('day', date '2024-01-01', ts::date) + 1 d from events where event_type = 'purchase'),
+u as (select user_id, cast(count(*) as int) n_periods from p group by 1), days as (select distinct d from p)
+select u.user_id, days.d::varchar "day", p.d is not null present, n_periods from u cross join days left join p on p.user_id = u.user_id and p.d = days.d
 """)
 def presence_matrix(t):
-    return panel.presence_matrix(_purchase_days(t), "user_id", "day", DAYS)
+    """A column for each day of the data, shown as rows so that the schema does not depend on them."""
+    matrix = panel.presence_matrix(_purchase_days(t), "user_id", "day")
+    return matrix.unpivot(["user_id", "n_periods"], [c for c in matrix.columns if c not in ("user_id", "n_periods")], "day", "present")
 
 
 @query("presence_classes", """

@@ -56,30 +56,32 @@ def geo_rollup_rates(t):
 with c as (
   select r_name, n_name, case when c_acctbal < 0 then 'debt' else 'credit' end side, c_mktsegment seg
   from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
-select r_name, n_name, side, count(*) n_total,
-  round(100.0 * count(*) filter (seg = 'AUTOMOBILE') / count(*), 6) pct_automobile,
-  round(100.0 * count(*) filter (seg = 'BUILDING') / count(*), 6) pct_building,
-  round(100.0 * count(*) filter (seg = 'FURNITURE') / count(*), 6) pct_furniture,
-  round(100.0 * count(*) filter (seg in ('AUTOMOBILE', 'BUILDING')) / count(*), 6) pct_first_two,
-  cast(grouping(r_name) * 4 + grouping(n_name) * 2 + grouping(side) as bigint) grain
-from c group by grouping sets ((r_name, n_name, side), (r_name, n_name), (r_name, side), (r_name), (side), ())
+, s as (select seg, row_number() over (order by seg) k from (select distinct seg from c)),
+k as (select seg, seg k from s union all select seg, 'first two' from s where k <= 2),
+g as (select r_name, n_name, side, count(*) n_total, cast(grouping(r_name) * 4 + grouping(n_name) * 2 + grouping(side) as bigint) grain
+  from c group by grouping sets ((r_name, n_name, side), (r_name, n_name), (r_name, side), (r_name), (side), ())),
+m as (select r_name, n_name, side, k, count(*) n, cast(grouping(r_name) * 4 + grouping(n_name) * 2 + grouping(side) as bigint) grain
+  from c join k using (seg) group by grouping sets ((r_name, n_name, side, k), (r_name, n_name, k), (r_name, side, k), (r_name, k), (side, k), (k)))
+select g.r_name, g.n_name, g.side, g.grain, g.n_total, n.k "class", round(100.0 * coalesce(m.n, 0) / n_total, 6) pct
+from g cross join (select distinct k from k) n left join m on m.grain = g.grain and m.k = n.k and m.r_name is not distinct from g.r_name
+  and m.n_name is not distinct from g.n_name and m.side is not distinct from g.side
 """)
 def geo_summary_grains(t):
     """Class shares per nation, region and overall, split by side and together."""
+    classes = agg.categories(t.customer, "c_mktsegment")
     cells = (t.customer.groupBy("c_nationkey", F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit").alias("side"))
-             .agg(F.count("*").alias("n_total"),
-                  *[F.count_if(F.col("c_mktsegment") == s).alias(f"n_{s.lower()}")
-                    for s in ("AUTOMOBILE", "BUILDING", "FURNITURE")]))
+             .agg(F.count("*").alias("n_total"), *[F.count_if(F.col("c_mktsegment") == s).alias(f"n_{s}") for s in classes]))
     cells = (cells.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
              .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-             .withColumn("n_first_two", F.col("n_automobile") + F.col("n_building")))
-    names = ["automobile", "building", "furniture", "first_two"]
+             .withColumn("n_first two", sum((F.col(f"n_{s}") for s in classes[:2]), F.lit(0))))
+    names = [*classes, "first two"]
     out = agg.rollup(
         cells, ["r_name", "n_name", "side"],
         [["r_name", "n_name", "side"], ["r_name", "n_name"], ["r_name", "side"], ["r_name"], ["side"], []],
         {"n_total": F.col("n_total"), **{f"n_{n}": F.col(f"n_{n}") for n in names}})
-    return out.select("r_name", "n_name", "side", "grain", "n_total", *[
-        F.round(F.col(f"n_{n}") * 100.0 / F.col("n_total"), 6).alias(f"pct_{n}") for n in names])
+    # a column per class, shown as rows so that the schema does not depend on the classes
+    shares = out.select("r_name", "n_name", "side", "grain", "n_total", *[F.round(F.col(f"n_{n}") * 100.0 / F.col("n_total"), 6).alias(n) for n in names])
+    return shares.unpivot(["r_name", "n_name", "side", "grain", "n_total"], names, "class", "pct")
 
 
 @query("share_within_group", """
@@ -288,14 +290,13 @@ def rank_shift_scale(t):
 @query("class_region_table", """
 with f as (select p_type, n_regionkey k from lineitem join part on l_partkey = p_partkey
   join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
-w as (select p_type, count(*) filter (k = 0) r0, count(*) filter (k = 1) r1, count(*) filter (k = 2) r2,
-  count(*) filter (k = 3) r3, count(*) filter (k = 4) r4, count(*) total from f group by 1),
+w as (select p_type, count(*) total from f group by 1),
 c as (select *, cast(row_number() over (order by total desc, p_type) as int) class_rank,
   round(100.0 * total / sum(total) over (), 6) pct,
   round(100.0 * sum(total) over (order by total desc, p_type rows unbounded preceding) / sum(total) over (), 6) cum_pct from w)
-select * from c union all
-select 'Total', sum(r0)::bigint, sum(r1)::bigint, sum(r2)::bigint, sum(r3)::bigint, sum(r4)::bigint, sum(total)::bigint,
-  null, 100.0, 100.0 from c
+, a as (select * from c union all select 'Total', sum(total)::bigint, null, 100.0, 100.0 from c),
+n as (select p_type, k, count(*) n from f group by all union all select 'Total', k, count(*) from f group by 2)
+select a.*, 'r' || r.k region, coalesce(n.n, 0) n from a cross join (select distinct k from f) r left join n on n.p_type = a.p_type and n.k = r.k
 """)
 def class_region_table(t):
     """Classes by region with total, percent, cumulative percent and a total row."""
@@ -304,10 +305,11 @@ def class_region_table(t):
     cells = (pairs.join(regions, F.col("l_suppkey") == F.col("s_suppkey"))
              .groupBy("l_partkey", "n_regionkey").agg(F.sum("n").alias("n"))
              .join(t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")))
-    slots = [f"r{k}" for k in range(5)]
+    keys = agg.categories(regions, "n_regionkey")
+    slots = [f"r{k}" for k in keys]
     table = cells.groupBy("p_type").agg(
         *[F.coalesce(F.sum(F.when(F.col("n_regionkey") == k, F.col("n"))), F.lit(0).cast("long")).alias(f"r{k}")
-          for k in range(5)], F.sum("n").alias("total"))
+          for k in keys], F.sum("n").alias("total"))
     # one row per class from here on
     order = W.orderBy(F.col("total").desc(), "p_type")
     whole = table.agg(F.sum("total")).scalar()
@@ -318,7 +320,8 @@ def class_region_table(t):
     foot = table.agg(*[F.sum(c).alias(c) for c in [*slots, "total"]]).select(
         F.lit("Total").alias("p_type"), *slots, "total", F.lit(None).cast("int").alias("class_rank"),
         F.lit(100.0).alias("pct"), F.lit(100.0).alias("cum_pct"))
-    return rows.unionByName(foot)
+    # a column per region, shown as rows so that the schema does not depend on the regions
+    return rows.unionByName(foot).unpivot(["p_type", "total", "class_rank", "pct", "cum_pct"], slots, "region", "n")
 
 
 @query("lump_rare", """

@@ -57,3 +57,39 @@ def test_few_segments_are_compared_per_place(spark):
     held = spatial._frontier(places, nodes, [])
     met = held.join(leaves, "node").groupBy("_px", "_py").count()
     assert met.count() == places.distinct().count() and met.agg(F.max("count")).first()[0] <= 12 * spatial.LEAF_SIZE
+
+
+def boxes_frame(spark, rects):
+    rows = [(i, [[(x, y), (x + w, y), (x + w, y + h), (x, y + h)]]) for i, (x, y, w, h) in enumerate(rects)]
+    return spark.createDataFrame(rows, "poly long, rings array<array<struct<lon: double, lat: double>>>")
+
+
+def touch(a, b):
+    (ax, ay, aw, ah), (bx, by, bw, bh) = a, b
+    meet = ax <= bx + bw and bx <= ax + aw and ay <= by + bh and by <= ay + ah
+    return meet and not (ax < bx + bw and bx < ax + aw and ay < by + bh and by < ay + ah)
+
+
+def test_touching_in_one_crowded_cell(spark):
+    # 2,500 squares of a quarter, so 10,000 edges, all in one cell; some beside it and one across many cells
+    side = 0.0078125
+    rects = [(side * (k % 50), side * (k // 50), side, side) for k in range(2500)] + [(-4.0, -2.0, 9.0, 2.0), (side * 50, 0.0, 3.0, 0.5)]
+    got = {(r.poly_a, r.poly_b) for r in spatial.touching(boxes_frame(spark, rects), "poly", "rings", 1.0).collect()}
+    want = {(a, b) for a in range(2500) for b in (a + 1, a + 49, a + 50, a + 51) if b < 2500 and abs(a % 50 - b % 50) <= 1 and touch(rects[a], rects[b])}
+    want |= {(k, 2500) for k in range(2500) if touch(rects[k], rects[2500])} | {(k, 2501) for k in range(2500) if touch(rects[k], rects[2501])} | {(2500, 2501)}
+    assert got == want
+
+
+def test_touching_with_cells_of_any_width(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "HOT_EDGES", 20)
+    rng = random.Random(3)
+    rects = [(rng.randint(-6, 6) / 2, rng.randint(-6, 6) / 2, rng.randint(1, 6) / 2, rng.randint(1, 6) / 2) for _ in range(60)]
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if touch(rects[a], rects[b])}
+    for cell in (0.3, 2.0, 50.0):
+        assert {(r.poly_a, r.poly_b) for r in spatial.touching(boxes_frame(spark, rects), "poly", "rings", cell).collect()} == want
+
+
+def test_long_slanted_edges_take_few_cells(spark):
+    edges = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0), (2, 0.0, 5.0, 100.0, 5.0), (3, 2.5, 0.0, 2.5, 40.0)], "poly long, x1 double, y1 double, x2 double, y2 double")
+    n = {r.poly: r["count"] for r in spatial._in_cells(edges, 1.0, 1e-9).groupBy("poly").count().collect()}
+    assert n[1] <= 400 and n[2] <= 204 and n[3] <= 42

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import dates, numbers, scoring, text
 from tallystone.functions.nulls import in_set, not_in_set, strict_sum
-from tallystone.operators import aggregate, household, panel, quality, shape, spatial
+from tallystone.operators import aggregate, census, household, panel, quality, shape, spatial
 from tallystone.sources import files, snapshots, text_sinks
 
 
@@ -275,3 +275,29 @@ def test_outlines_touch_without_common_area():
     assert boundaries_touch([b for b, _ in cases], [big] * len(cases), 1e-9).tolist() == got.tolist()
     # a polygon that fills another's hole touches it
     assert boundaries_touch([box((0, 0, 4, 4), (1, 1, 1, 1))], [box((1, 1, 1, 1))], 1e-9).tolist() == [True]
+
+
+def test_columns_come_from_the_data(spark):
+    seen = spark.createDataFrame([("a", 31), ("a", 2), ("b", 2), ("b", None)], "k string, day int")
+    got = {r.k: r.asDict() for r in panel.presence_matrix(seen, "k", "day").collect()}
+    assert got == {"a": {"k": "a", "2": True, "31": True, "n_periods": 2}, "b": {"k": "b", "2": True, "31": False, "n_periods": 1}}
+    with pytest.raises(ValueError, match="more than 1 values"):
+        panel.presence_matrix(seen, "k", "day", limit=1)
+    rows = spark.createDataFrame([(1, ["x", "y", "z"]), (2, ["x"]), (3, []), (4, None)], "k int, items array<string>")
+    lookup = spark.createDataFrame([("x", 7), ("z", 9)], "item string, n int")
+    wide = {r.k: tuple(r)[1:] for r in shape.expand_slots(rows, "k", "items", lookup, "item", ["n"]).collect()}
+    assert wide == {1: ("x", 7, "y", None, "z", 9), 2: ("x", 7, None, None, None, None), 3: (None,) * 6, 4: (None,) * 6}
+    with pytest.raises(ValueError, match="arrays of 3 elements"):
+        shape.expand_slots(rows, "k", "items", lookup, "item", ["n"], slots=2)
+    listing = spark.createDataFrame([("a", 0), ("b", 0), ("new", 0), (None, 1)], "section string, head int")
+    got = sorted((r.section, r["head"]) for r in shape.split_sections(listing, "section", F.col("head") == 1).collect())
+    assert got == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("new", 0), ("new", 1)]
+
+
+def test_one_rule_for_area_codes(spark):
+    assert shape.area_codes(["1", 2, "0203"]) == ["01", "02", "0203"]
+    for bad in ("123", "x1", "12345678"):
+        with pytest.raises(ValueError):
+            shape.area_codes([bad])
+        with pytest.raises(ValueError):
+            census.in_area([bad])
