@@ -20,6 +20,7 @@ rows that share an id are ordered by their text; an empty table writes no file.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -41,6 +42,7 @@ from tallystone.session import checkpoint_folder
 END_ID = 1
 TASK_BYTES = 16 << 20
 _CACHE_WORDS, _CACHE_RUNS = 600_000, 1_000_000
+_TOGETHER = 256
 # words end in these without changing how their letters are encoded: the tokenizer splits letters from other marks
 _CLOSING = b".,;:!?*$%&#|"
 _encoders: dict[str, "WordEncoder"] = {}
@@ -70,7 +72,7 @@ def unpack(data: bytes | memoryview, offset: int) -> bytes:
 
 
 class WordEncoder:
-    """Encodes texts word by word with a tokenizer that drops white space and never joins words across it.
+    """Encodes texts word by word with a tokenizer that drops white space and never joins words across it (checked; texts are encoded whole with any other).
 
     Words seen before come from a bounded table. A new word of letters and closing marks is put together from
     a second bounded table of letter runs (lower-cased where they are ASCII, as the tokenizer lower-cases) and marks;
@@ -84,12 +86,36 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype, self.code = f"<u{self.width}", "H" if self.width == 2 else "I"
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_word, ends = _splits_at_space(json.loads(self.tokenizer.to_str()))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        if ends:
+            self.closes[[i for token, i in vocabulary.items() if token.endswith(ends)]] = True
         self.known: dict[bytes, bytes] = {}
         self.runs: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _run_ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of letter runs and marks. Many letter runs are encoded as one text, whose words end at ids that close a word."""
+        together = [t.isalpha() and t.lower().isalpha() for t in texts]
+        out: dict[str, bytes] = {}
+        letters = [t for t, k in zip(texts, together, strict=True) if k]
+        groups = [letters[k : k + _TOGETHER] for k in range(0, len(letters), _TOGETHER)]
+        apart = [t for t, k in zip(texts, together, strict=True) if not k]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cuts = (np.flatnonzero(self.closes[ids]) + 1) * self.width
+            if len(cuts) != len(group) or cuts[-1] != ids.nbytes:
+                apart += group
+                continue
+            data, low = ids.tobytes(), 0
+            for text, high in zip(group, cuts.tolist(), strict=True):
+                out[text], low = data[low:high], high
+        out.update(zip(apart, self._ids(apart), strict=True))
+        return [out[t] for t in texts]
+
     def _learn(self, new: list[bytes]) -> None:
         """Add new words to the table."""
         parts = []
@@ -108,7 +134,7 @@ class WordEncoder:
             self.runs.clear()
         runs = self.runs
         lacking = list({x for p in parts for x in p}.difference(runs))
-        runs.update(zip(lacking, self._ids([x.decode() for x in lacking]), strict=True))
+        runs.update(zip(lacking, self._run_ids([x.decode() for x in lacking]), strict=True))
         self.known.update(zip(new, (runs[a] + runs[b] for a, b in parts), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -116,17 +142,26 @@ class WordEncoder:
         if len(self.known) > _CACHE_WORDS:
             self.known.clear()
         # the string of a special token is matched before words are split: such a text is encoded whole
-        split = [None if b"<" in t and any(s in t.lower() for s in self.special) else t.split() for t in texts]
-        get = self.known.get
-        found = [words and list(map(get, words)) for words in split]
-        missing = [(words, ids) for words, ids in zip(split, found, strict=True) if ids and None in ids]
-        self._learn(list({w for words, ids in missing for w, x in zip(words, ids, strict=True) if x is None}))
-        for words, ids in missing:
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                ids[at] = get(words[at])
-        return [self._ids([t.decode()])[0] if words is None else b"".join(ids) for t, words, ids in zip(texts, split, found, strict=True)]
+        split = [None if not self.by_word or b"<" in t and any(s in t.lower() for s in self.special) else t.split() for t in texts]
+        words: set[bytes] = set()
+        words.update(*(w for w in split if w))
+        self._learn(list(words.difference(self.known)))
+        get = self.known.__getitem__
+        return [self._ids([t.decode()])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
+
+
+def _splits_at_space(made: dict) -> tuple[bool, str | None]:
+    """Does a tokenizer drop white space and treat letters apart from other marks, whatever stands around them; and what ends its words."""
+    steps = lambda part, name: [] if part is None else part[name] if part["type"] == "Sequence" else [part]
+    normal = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " "
+                 for n in steps(made["normalizer"], "normalizers"))
+    pre = steps(made["pre_tokenizer"], "pretokenizers")
+    first = pre[0] if pre else {}
+    # the words are what the pattern matches: contractions, letters, single digits, other marks
+    words = (first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+             and re.sub(r"[\[\]+]", "", first["pattern"].get("Regex", "")).endswith(r"|\p{L}|\p{N}|^\s\p{L}\p{N}"))
+    rest = all(p["type"] == "ByteLevel" and not p["use_regex"] and not p["add_prefix_space"] for p in pre[1:])
+    return normal and words and rest and made["model"]["type"] == "BPE" and not made["model"].get("ignore_merges"), made["model"].get("end_of_word_suffix")
 
 
 def encoder(path: str) -> WordEncoder:
