@@ -14,9 +14,9 @@ are one shingle of that many words, and are looked for among the runs of that le
 The items are the stated query set: they are read in blocks of ``BLOCK`` shingles or so (one
 broadcast of bounded size each), and each block meets all documents in one pass without a shuffle.
 
-Defined cases: null and empty texts contain nothing; items without words are never found; an
-item id that repeats counts once, with any of its texts; null item ids are ignored; repeated
-documents get equal rows; other columns are kept untouched.
+Defined cases: null and empty texts contain nothing; items without words are never found; all texts of an
+item id that repeats are searched, and the id counts once, with its largest share; items whose id is null are searched as one
+more id; repeated documents get equal rows; other columns are kept untouched. Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.llm.words import Texts, distinct, map_texts, plain_words, owners, windows
+from tallystone.session import cut_lineage
 
 K = 5
 BLOCK = 1 << 20
@@ -57,7 +58,7 @@ def item_shingles(items: DataFrame, item_id: str, text: str) -> DataFrame:
             hashes.append(run[np.searchsorted(text_of, i) : np.searchsorted(text_of, i, "right")].tobytes())
         return {"item": batch.column("item"), "k": np.minimum(words, K), "hashes": hashes}
 
-    named = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("body")).where("item is not null")
+    named = items.select(F.col(item_id).cast("long").alias("item"), F.col(text).alias("body"))
     return map_texts(named, "body", "item long, k int, hashes binary", rows).where("k > 0")
 
 
@@ -66,7 +67,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, int, np.ndarray]], threshold: float):
         self.threshold = threshold
-        self.ids = np.array([i for i, _, _ in items], np.int64)
+        self.ids = pa.array([i for i, _, _ in items], pa.int64())
         self.sets = [s for _, _, s in items]
         self.parts = []  # (k, least n, sorted sketch hashes, their items)
         sizes = np.array([len(s) for s in self.sets])
@@ -112,7 +113,7 @@ def contained_items(docs: DataFrame, items: DataFrame, item_id: str = "item_id",
                     item_text: str = "text", threshold: float = 0.8) -> DataFrame:
     """``docs`` with ``_items`` (sorted ids of the items it contains) and ``_containment`` (their shares)."""
     spark = docs.sparkSession
-    shingled = item_shingles(items, item_id, item_text).groupBy("item").agg(F.max(F.struct("k", "hashes")).alias("s")).select("item", "s.*")
+    shingled = cut_lineage(item_shingles(items, item_id, item_text).distinct())  # an id may have several texts, all are searched
     total = shingled.agg(F.sum(F.length("hashes") / 8)).first()[0] or 0
     blocks = max(1, int(-(-total // BLOCK)))
     docs = docs.drop("_items", "_containment")
@@ -121,20 +122,24 @@ def contained_items(docs: DataFrame, items: DataFrame, item_id: str = "item_id",
     out = docs.toDF(*[f"c{i}" for i in range(len(names))])
     body = f"c{names.index(text)}"
     for b in range(blocks):
-        got = shingled.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
+        got = shingled.where(F.pmod(F.xxhash64("hashes"), F.lit(blocks)) == b).collect()
         index = spark.sparkContext.broadcast(ItemIndex(
-            [(r["item"], r["k"], np.frombuffer(r["hashes"], np.uint64)) for r in sorted(got, key=lambda r: r["item"])], threshold))
+            [(r["item"], r["k"], np.frombuffer(r["hashes"], np.uint64)) for r in sorted(got, key=lambda r: (r["item"] is None, r["item"] or 0, r["hashes"]))], threshold))
         columns = [c for c in out.columns]
 
         def rows(batch: pa.RecordBatch, texts: Texts, index=index, columns=columns, b=b) -> dict:
             text_of, item, share = index.value.search(texts) if index.value.parts else (np.zeros(0, int),) * 3
             offsets = pa.array(np.searchsorted(text_of, np.arange(len(texts) + 1)), pa.int32())
             return {**{c: batch.column(c) for c in columns},
-                    f"i{b}": pa.ListArray.from_arrays(offsets, pa.array(index.value.ids[item] if len(item) else np.zeros(0, np.int64))),
+                    f"i{b}": pa.ListArray.from_arrays(offsets, index.value.ids.take(pa.array(item, pa.int64()))),
                     f"s{b}": pa.ListArray.from_arrays(offsets, pa.array(share.astype(np.float64)))}
 
         schema = ", ".join(f"`{c}` {t}" for c, t in out.dtypes) + f", i{b} array<long>, s{b} array<double>"
         out = map_texts(out, body, schema, rows)
-    found = F.array_sort(F.concat(*[F.arrays_zip(F.col(f"i{b}").alias("item"), F.col(f"s{b}").alias("share")) for b in range(blocks)]))
+    every = F.array_sort(F.concat(*[F.arrays_zip(F.col(f"i{b}").alias("item"), F.col(f"s{b}").alias("share")) for b in range(blocks)]))
+    out = out.withColumn("_every", every)
+    after = lambda i: F.get("_every", i + 1)
+    # the largest share of those of one id
+    found = F.filter("_every", lambda x, i: after(i).isNull() | ~after(i)["item"].eqNullSafe(x["item"]))
     return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], F.transform(found, lambda x: x["item"]).alias("_items"),
                       F.transform(found, lambda x: x["share"]).alias("_containment"))
