@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def profile_columns(tables: Mapping[str, DataFrame], pattern: str, flags: Sequence[str]) -> DataFrame:
-    """Columns whose name matches, over several tables: type, does any value contain each flag text, three samples.
+def profile_columns(tables: Mapping[str, DataFrame], pattern: str, flags: Sequence[str], samples: int = 3) -> DataFrame:
+    """Columns whose name matches, over several tables: type, does any value contain each flag text, the least values as samples.
 
-    Each table is read once: its matching columns become rows of (column, text), counted per
-    distinct text; the facts and the samples read those counts. Samples are the least values,
-    of which Spark keeps three per task before it shuffles, so that they are stable.
+    Each table is read once. A task keeps a count, the flags and the ``samples`` least values of each column, and only these
+    rows (one per task and column) are shuffled, whatever the number of distinct values.
     """
     out = []
     for name, df in tables.items():
@@ -24,12 +24,24 @@ def profile_columns(tables: Mapping[str, DataFrame], pattern: str, flags: Sequen
         if not kinds:
             continue
         columns = df.sparkSession.createDataFrame(kinds, "_i int, table_name string, column_name string, column_type string")
-        cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast("string").alias("s")) for i, _, c, _ in kinds])
-        texts = df.select(F.explode(cells).alias("_v")).groupBy("_v._i", "_v.s").agg(F.count("_v.s").alias("n"))
-        facts = texts.groupBy("_i").agg(F.sum("n").alias("n_values"), *[F.bool_or(F.col("s").contains(f)).alias(f"has_{f}") for f in flags])
-        least = texts.where(F.col("s").isNotNull()).withColumn("k", F.row_number().over(W.partitionBy("_i").orderBy("s"))).where("k <= 3")
-        samples = least.groupBy("_i").agg(F.array_join(F.array_sort(F.collect_list("s")), " | ").alias("sample_values"))
-        out.append(columns.join(facts, "_i", "left").join(samples, "_i", "left").select(
+
+        def run(batches: Iterator[pa.RecordBatch], numbers=tuple(i for i, *_ in kinds)) -> Iterator[pa.RecordBatch]:
+            count, has, least = dict.fromkeys(numbers, 0), {i: [False] * len(flags) for i in numbers}, dict.fromkeys(numbers, [])
+            for batch in batches:
+                for i, column in zip(numbers, batch.columns, strict=True):
+                    values = column.drop_null()
+                    count[i] += len(values)
+                    has[i] = [h or bool(pc.any(pc.match_substring(values, f)).as_py()) for h, f in zip(has[i], flags, strict=True)]
+                    known = pa.array(least[i], pa.string())
+                    least[i] = pc.unique(pa.concat_arrays([known, values])).sort()[:samples].to_pylist()
+            yield pa.RecordBatch.from_pydict({"_i": list(numbers), "n": [count[i] for i in numbers], "has": [has[i] for i in numbers], "least": [least[i] for i in numbers]},
+                                             schema=pa.schema([("_i", pa.int32()), ("n", pa.int64()), ("has", pa.list_(pa.bool_())), ("least", pa.list_(pa.string()))]))
+
+        parts = df.select(*[F.col(c).cast("string") for _, _, c, _ in kinds]).mapInArrow(run, "_i int, n long, has array<boolean>, least array<string>")
+        facts = parts.groupBy("_i").agg(
+            F.sum("n").alias("n_values"), *[F.bool_or(F.get("has", F.lit(k))).alias(f"has_{f}") for k, f in enumerate(flags)],
+            F.array_join(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("least")))), 1, samples), " | ").alias("sample_values"))
+        out.append(columns.join(facts, "_i", "left").select(
             "table_name", "column_name", "column_type", F.coalesce("n_values", F.lit(0).cast("long")).alias("n_values"),
             *[F.coalesce(f"has_{f}", F.lit(False)).alias(f"has_{f}") for f in flags],
             F.coalesce("sample_values", F.lit("")).alias("sample_values")))
@@ -62,10 +74,11 @@ def variable_presence(tables: Mapping[str, DataFrame]) -> DataFrame:
         F.count_if(F.col("n_values") > 0).alias("n_tables"))
 
 
-def data_dictionary(df: DataFrame, descriptions: Mapping[str, str]) -> DataFrame:
-    """Variables with their descriptions; those missing on either side are marked."""
-    spark = df.sparkSession
-    told = spark.createDataFrame(list(descriptions.items()), "variable_name string, description string").withColumn("_d", F.lit(True))
+def data_dictionary(df: DataFrame, descriptions: Mapping[str, str] | DataFrame) -> DataFrame:
+    """Variables with their descriptions (a map, or rows of ``variable_name`` and ``description``); those missing on either side are marked."""
+    told = descriptions if isinstance(descriptions, DataFrame) else df.sparkSession.createDataFrame(
+        list(descriptions.items()), "variable_name string, description string")
+    told = told.select("variable_name", "description", F.lit(True).alias("_d"))
     have = schema_rows({"t": df}).select("variable_name", "position", "type", F.lit(True).alias("_h"))
     state = F.when(F.col("_h") & F.col("_d"), "described").when(F.col("_h"), "no description").otherwise("no such variable")
     return have.join(told, "variable_name", "full").select("variable_name", "position", "type", "description", state.alias("state"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallystone.plans import bundles, crosswalk, households, library, linkage, outputs, panels, places, shaping, shares, texts  # noqa: F401
+from tallystone.plans import bundles, crosswalk, files, households, library, linkage, outputs, panels, places, shaping, shares, texts  # noqa: F401
 from tallystone.registry import ORACLES, QUERIES
 
 

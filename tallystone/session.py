@@ -43,6 +43,13 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted by ``drop_written``."""
+    path = f"{checkpoint_folder(spark)}/{kind}/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from its files.
 
@@ -50,9 +57,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     columns they use, and their sizes give the optimizer true estimates.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tables")
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

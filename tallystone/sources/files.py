@@ -6,7 +6,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tallystone.operators.panel import merge_years
 from tallystone.operators.shape import rename, select_present
@@ -18,6 +18,23 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep
     return spark.read.csv(path, schema=schema, sep=sep, header=header, nullValue=null_value)
 
 
+def write_delimited(df: DataFrame, path: str, partition: Sequence[str] = (), sep: str = ";", null_value: str = "NA", rows_per_file: int = 5_000_000) -> None:
+    """Delimited text with a header, in folders by the partition columns; large partitions become several files."""
+    writer = df.write.option("sep", sep).option("header", True).option("nullValue", null_value).option("maxRecordsPerFile", rows_per_file)
+    (writer.partitionBy(*partition) if partition else writer).csv(path)
+
+
+def read_checked(spark: SparkSession, path: str, schema: StructType, sep: str = ";", null_value: str = "NA", bad: str = "_bad_record",
+                 partition: str | None = None, values: Iterable | None = None) -> DataFrame:
+    """Delimited text with a declared schema; a line that does not fit it keeps what could be read, and its text in ``bad``.
+
+    ``values`` of a partition column leave the folders of the others unread.
+    """
+    whole = StructType([*schema.fields, StructField(bad, StringType())])
+    df = spark.read.csv(path, schema=whole, sep=sep, header=True, nullValue=null_value, mode="PERMISSIVE", columnNameOfCorruptRecord=bad, enforceSchema=True)
+    return df if partition is None or values is None else df.where(F.col(partition).isin(list(values)))
+
+
 def scan(spark: SparkSession, path: str, schema: StructType | str, columns: Sequence[str],
          partition: str | None = None, values: Iterable | None = None, sep: str = ";") -> DataFrame:
     """Lazy scan of large microdata: wanted columns, and a coarse code filter if given.

@@ -301,3 +301,29 @@ def test_one_rule_for_area_codes(spark):
             shape.area_codes([bad])
         with pytest.raises(ValueError):
             census.in_area([bad])
+
+
+def test_partitioned_text_is_pruned_and_marks_bad_lines(spark, tmp_path):
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    rows = spark.createDataFrame([(k % 4, k, "oops" if k == 6 else str(k * 2)) for k in range(40)], "part int, k long, v string")
+    files.write_delimited(rows, str(tmp_path / "t"), ["part"])
+    schema = StructType([StructField("k", LongType()), StructField("v", LongType())])
+    read = files.read_checked(spark, str(tmp_path / "t"), schema, partition="part", values=[2])
+    got = {r.k: (r.v, r._bad_record) for r in read.collect()}
+    assert set(got) == set(range(2, 40, 4)) and got[6] == (None, "6;oops") and got[10] == (20, None)
+    # only the folder of the wanted value is listed for the scan
+    whole = files.read_checked(spark, str(tmp_path / "t"), schema)
+    assert {f.split("part=")[1][0] for f in whole.inputFiles()} == set("0123")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan or "PartitionFilters: [(part" in plan
+    assert {r.f for r in read.select(F.regexp_extract(F.input_file_name(), r"part=(\d)", 1).alias("f")).collect()} == {"2"}
+
+
+def test_profile_keeps_few_rows_per_task(spark):
+    rows = spark.createDataFrame([(f"v{k:05d}", None if k % 2 else "ice", k) for k in range(3000)] + [("", "x", 1)], "name_a string, name_b string, other int").repartition(5)
+    found = quality.profile_columns({"t": rows, "none": rows.select("other")}, "^name", ["ice", "99"])
+    got = {r.column_name: (r.n_values, r.has_ice, r.has_99, r.sample_values) for r in found.collect()}
+    assert got == {"name_a": (3001, False, True, " | v00000 | v00001"), "name_b": (1501, True, False, "ice | x")}
+    empty = quality.profile_columns({"t": rows.limit(0)}, "^name", ["ice"]).collect()
+    assert {r.n_values for r in empty} == {0}
