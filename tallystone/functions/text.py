@@ -145,6 +145,7 @@ NAME_STATES = [
     (r"\(Ne\)", "(Nebraska)"), (r"\(Ny\)", "(New York)"), (r"\(Tx\)", "(Texas)"), (r"\(Ut\)", "(Utah)"),
     (r", Nm\b", ", New Mexico"), (r", Mt\b", ", Montana"),
 ]
+# Names that are replaced, in published order.
 NAME_FIXES = [
     ("CCA, Florence Correctional Center", "Central Arizona Florence Correctional Complex"),
     ("Eloy Federal Contract Facility", "Eloy Detention Center"),
@@ -158,6 +159,7 @@ NAME_FIXES = [
     ("Port Isabel SPC", "Port Isabel Detention Center"),
     ("Bluebonnet Detention Facility", "Bluebonnet Detention Center"),
 ]
+# City spellings that are replaced, in published order.
 CITY_FIXES = [
     ("Ft.lauderdale", "Fort Lauderdale"), ("Ft. Lauderdale", "Fort Lauderdale"),
     ("Cottonwood Fall", "Cottonwood Falls"), ("Sault Ste Marie", "Sault Ste. Marie"),
