@@ -216,6 +216,9 @@ class Paths:
     total: np.ndarray  # log-chance of the whole text
     top: np.ndarray  # perturbed log-chance of each text's segmentation
     rest: np.ndarray  # priority of the node that stands for the other edges at each place
+    others: np.ndarray  # log-chance of those edges
+    late: np.ndarray  # places whose noise is not drawn yet
+    salt: int
 
 
 class Sampler:
@@ -277,16 +280,28 @@ class Sampler:
         text = self.text[words]
         before = sums[:-1] - sums[bounds[:-1]][text]
         others = before + self.log_others[ordered]
-        # a node of less than e^-50 of the largest one's mass leads with a chance below 1e-18: none is drawn there
+        # a node of less than e^-50 of the largest one's mass leads with a chance below 1e-18: its noise is drawn when the others are used up
         most = np.full(self.n, -np.inf)
         some = np.diff(bounds) > 0
         if some.any():
             most[some] = np.maximum.reduceat(others, bounds[:-1][some])
-        near = np.flatnonzero(others > most[text] - 50)
+        close = others > most[text] - 50
+        near = np.flatnonzero(close)
         noise = np.log(-np.log(self._draws(words[near], steps[near], salt + 1)))
         rest = np.full(len(ordered), -np.inf)
         rest[near] = -np.logaddexp(-top[text[near]], noise - others[near])
-        return Paths(ordered, words, steps, bounds, before, sums[bounds[1:]] - sums[bounds[:-1]], top, rest)
+        return Paths(ordered, words, steps, bounds, before, sums[bounds[1:]] - sums[bounds[:-1]], top, rest, others, ~close & (others > -np.inf), salt)
+
+    def _draw_late(self, heaps: list[list], t: int) -> None:
+        """Noise for the places of a text that were too unlikely to matter before."""
+        for r, path in enumerate(self.paths):
+            a, b = path.bounds[t], path.bounds[t + 1]
+            at = a + np.flatnonzero(path.late[a:b])
+            if len(at):
+                noise = np.log(-np.log(self._draws(path.word[at], path.step[at], path.salt + 1)))
+                path.rest[at] = -np.logaddexp(-path.top[t], noise - path.others[at])
+                path.late[at] = False
+                self._push(heaps, r, [t])
 
     def sample(self, k: int) -> tuple[list[list[tuple]], np.ndarray]:
         """Per text up to ``k`` of (sample number, text's log-chance, perturbed log-chance), and the threshold."""
@@ -302,6 +317,8 @@ class Sampler:
             top = np.full(self.n, -np.inf)
             forced = []
             for t in range(self.n):
+                if not heaps[t]:
+                    self._draw_late(heaps, t)
                 if not heaps[t]:
                     continue
                 value, r, at = heapq.heappop(heaps[t])
@@ -317,7 +334,7 @@ class Sampler:
                 chosen = free[min(int(np.searchsorted(running, draw * running[-1])), len(free) - 1)]
                 used.append(chosen)
                 top[t] = -value
-                left = running[-1] - self.lattice.chance[chosen]
+                left = float(sum(self.lattice.chance[e] for e in free if e != chosen))
                 if len(free) > 1 and left > 0:  # the siblings that remain, below the path just found
                     noise = self._draws(path.word[at : at + 1], path.step[at : at + 1], 4 * s + 3)[0]
                     path.rest[at] = -np.logaddexp(value, np.log(-np.log(noise)) - path.before[at] - np.log(left))
@@ -349,9 +366,13 @@ class Sampler:
             for t, r, at, _ in forced:  # what leads to the branch belongs to the parent's nodes
                 shared = at - self.paths[r].bounds[t] + 1
                 made.rest[made.bounds[t] : made.bounds[t] + shared] = -np.inf
+                made.late[made.bounds[t] : made.bounds[t] + shared] = False
                 taken[t].append((s, made.total[t], top[t]))
             self.paths.append(made)
             self._push(heaps, s, [t for t, *_ in forced])
+        for t in range(self.n):
+            if not heaps[t]:
+                self._draw_late(heaps, t)
         threshold = np.array([-h[0][0] if h else -np.inf for h in heaps])
         return taken, threshold
 

@@ -260,6 +260,34 @@ def test_containment_in_several_blocks(spark, monkeypatch):
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def all_segmentations(lattice, node):
+    """Log-chance of every path from a node to the end of its word, by its edges."""
+    out = {}
+    for e in range(lattice.edges[node], lattice.edges[node + 1]):
+        to = lattice.to[e]
+        rest = all_segmentations(lattice, to) if to >= lattice.n_last else {(): 0.0}
+        out |= {(e, *path): math.log(lattice.chance[e]) + log for path, log in rest.items()}
+    return out
+
+
+@pytest.mark.parametrize("text", ["strong", "an old", "of it", "a", "river", "the sun", "calm", "word", "in no", "house"])
+def test_more_samples_than_segmentations_returns_all_of_them(text):
+    vocab, keys = vocabulary(MODEL), np.arange(20, dtype=np.int64) * 104729
+    sampler = Sampler(vocab, Texts(pa.array([text] * len(keys))), keys, 1.0)
+    want = {(): 0.0}
+    for w in range(sampler.words[0], sampler.words[1]):
+        own = all_segmentations(sampler.lattice, sampler.lattice.start[sampler.kind[w]])
+        want = {(*a, *b): x + y for a, x in want.items() for b, y in own.items()}
+    taken, threshold = sampler.sample(len(want) + 3)
+    for i in range(len(keys)):
+        got = {}
+        for s, log, _ in taken[i]:
+            path = sampler.paths[s]
+            got[tuple(path.edge[path.bounds[i] : path.bounds[i + 1]].tolist())] = log
+        assert len(taken[i]) == len(want) and threshold[i] == -np.inf
+        assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-9) for p in got)
+
+
 def test_samples_are_distinct_exact_and_without_replacement():
     vocab, n = vocabulary(MODEL), 4000
     sampler = Sampler(vocab, Texts(pa.array(["the a"] * n)), np.arange(n, dtype=np.int64) * 7919, 0.5)
