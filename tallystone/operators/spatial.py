@@ -23,6 +23,8 @@ LEAF_SIZE = 32
 LEVELS = 9
 #: Edges in a cell before it is cut, in a cell that is compared whole, and in a task.
 HOT_EDGES, FEW, TASK_EDGES = 2048, 64, 1_000_000
+#: Polygons and points in a cell that are compared whole, and how often a cell can be cut into 4 by 4.
+FEW_SHAPES, FEW_POINTS, CUTS = 16, 32, 6
 
 def ring_edges(rings: Column) -> Column:
     """All edges of all rings, each ring closed."""
@@ -46,35 +48,82 @@ def _span(edges: Column, axis: str, size: float) -> Column:
     return F.sequence(_cell(lo, size), _cell(hi, size))
 
 
+def _parity(edges: str, px: Column, py: Column) -> Column:
+    """Does a ray from the place to the right cross an odd number of edges."""
+
+    def crosses(e: Column) -> Column:
+        at = (e["x2"] - e["x1"]) * (py - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
+        return ((e["y1"] > py) != (e["y2"] > py)) & (px < at)
+
+    return F.size(F.filter(edges, crosses)) % 2 == 1
+
+
+def _against_cells(rows: DataFrame, polygon: str, size: float) -> DataFrame:
+    """Polygons beside the cells they reach, without the edges outside the cell's row; ``_edges`` is null where the polygon holds the whole cell.
+
+    A cell that an edge may meet, by a margin far above the rounding, counts as met; the others lie inside or outside as a whole.
+    """
+    margin = F.lit(size * 1e-6) + (F.abs("_cx") + F.abs("_cy") + 2) * F.lit(size * 1e-12)
+    mid_x, mid_y, half = (F.col("_cx") + 0.5) * F.lit(size), (F.col("_cy") + 0.5) * F.lit(size), margin + size / 2
+    rows = rows.withColumn("_edges", F.filter("_edges", lambda e: (F.least(e["y1"], e["y2"]) <= mid_y + half) & (F.greatest(e["y1"], e["y2"]) >= mid_y - half)))
+
+    def meets(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        side = dx * (mid_y - e["y1"]) - dy * (mid_x - e["x1"])
+        return ((F.least(e["x1"], e["x2"]) <= mid_x + half) & (F.greatest(e["x1"], e["x2"]) >= mid_x - half)
+                & (F.abs(side) <= half * (F.abs(dx) + F.abs(dy))))
+
+    rows = rows.withColumn("_met", F.exists("_edges", meets)).where(F.col("_met") | _parity("_edges", mid_x, mid_y))
+    return rows.select(polygon, "_cx", "_cy", F.when(F.col("_met"), F.col("_edges")).alias("_edges"))
+
+
 def points_in_polygons(points: DataFrame, point: str, x: str, y: str, polygons: DataFrame, polygon: str, rings: str,
                        cell: float) -> DataFrame:
     """Least polygon id that strictly contains each point; points in none are absent.
 
-    Each polygon is laid over grid cells. A row per cell carries only the edges
-    that a ray from that cell row can cross, so the parity test stays short.
+    Each polygon is laid over grid cells; equal outlines are taken once. The least polygon that holds a whole cell
+    answers for it, so that only lesser ones whose outline passes through the cell are left for the parity test. Where many are left for many points the
+    cell is cut into 4 by 4, down to ``CUTS`` times. A row per cell carries only the edges that a ray from that cell row can cross.
     """
+    place = ["_cx", "_cy"]
     shaped = polygons.select(polygon, ring_edges(F.col(rings)).alias("_edges")).where(F.size("_edges") > 0)
-    rows = shaped.select(polygon, "_edges", _span(F.col("_edges"), "x", cell).alias("_xs"),
-                         F.explode(_span(F.col("_edges"), "y", cell)).alias("_cy"))
-    low, high = F.col("_cy") * F.lit(cell) - cell * 1e-9, (F.col("_cy") + 1) * F.lit(cell) + cell * 1e-9
-    rows = rows.withColumn("_edges", F.filter("_edges", lambda e: (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["y1"], e["y2"]) >= low)))
-    cells = rows.select(polygon, "_edges", F.explode("_xs").alias("_cx"), "_cy")
-    placed = points.select(point, F.col(x).alias("_px"), F.col(y).alias("_py"),
-                           _cell(F.col(x), cell).alias("_cx"), _cell(F.col(y), cell).alias("_cy"))
-    met = salted_join(placed, cells, ["_cx", "_cy"], [point], growth=32)
+    shaped = shaped.groupBy("_edges").agg(F.min(polygon).alias(polygon))
+    rows = shaped.select(polygon, "_edges", _span(F.col("_edges"), "x", cell).alias("_xs"), F.explode(_span(F.col("_edges"), "y", cell)).alias("_cy"))
+    rows = rows.select(polygon, "_edges", F.explode("_xs").alias("_cx"), "_cy")
+    live = points.select(point, F.col(x).alias("_px"), F.col(y).alias("_py"), _cell(F.col(x), cell).alias("_cx"), _cell(F.col(y), cell).alias("_cy"),
+                         F.lit(None).cast(polygons.schema[polygon].dataType).alias("_held"))
     px, py = F.col("_px"), F.col("_py")
 
-    def crosses(e: Column) -> Column:
-        at = (e["x2"] - e["x1"]) * (py - e["y1"]) / F.nullif(e["y2"] - e["y1"], F.lit(0.0)) + e["x1"]
-        return ((e["y1"] > py) != (e["y2"] > py)) & (px < at)
-
     def on(e: Column) -> Column:
         cross = (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])
         return ((cross == 0) & px.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
                 & py.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
-    inside = (F.size(F.filter("_edges", crosses)) % 2 == 1) & ~F.exists("_edges", on)
-    return met.where(inside).groupBy(point).agg(F.min(polygon).alias(polygon))
+    found = None
+    for level in range(CUTS + 1):
+        laid = cut_lineage(_against_cells(rows, polygon, cell / 4**level))
+        whole = laid.where("_edges is null").groupBy(*place).agg(F.min(polygon).alias("_whole"))
+        partly = salted_join(laid.where("_edges is not null"), whole, place, [polygon], "left", growth=8)
+        partly = partly.where(F.col("_whole").isNull() | (F.col(polygon) < F.col("_whole"))).drop("_whole")
+        crowd = partly.groupBy(*place).agg(F.count("*").alias("_n"))
+        load = live.groupBy(*place).agg(F.count("*").alias("_load")).join(crowd, place, "left").join(whole, place, "left")
+        load = cut_lineage(load.where("_n is not null or _whole is not null").withColumn(
+            "_cut", (F.coalesce("_n", F.lit(0)) > FEW_SHAPES) & (F.col("_load") > FEW_POINTS) & F.lit(level < CUTS)))
+        last = load.where("_cut").isEmpty()
+        # what holds the cell is less than what holds the cells around it, being left over there
+        met = salted_join(live, load.select(*place, "_whole", "_cut"), place, [point], "left", growth=8).withColumn("_held", F.coalesce("_whole", "_held")).drop("_whole")
+        met = met if last else cut_lineage(met)
+        done = met.where("_cut is null or not _cut")
+        tested = salted_join(done.where("_cut is not null"), partly.join(load.where("not _cut").select(*place), place, "left_semi"), place, [point], growth=32)
+        inside = tested.where(_parity("_edges", px, py) & ~F.exists("_edges", on)).select(point, polygon)
+        inside = inside.unionByName(done.where("_held is not null").select(point, F.col("_held").alias(polygon)))
+        found = inside if found is None else found.unionByName(inside)
+        if last:
+            break
+        finer = lambda c: F.explode(F.sequence(F.col(c) * 4, F.col(c) * 4 + 3))
+        rows = partly.join(load.where("_cut").select(*place), place, "left_semi").withColumn("_cx", finer("_cx")).withColumn("_cy", finer("_cy"))
+        live = met.where("_cut").drop("_cut").withColumns({"_cx": _cell(px, cell / 4 ** (level + 1)), "_cy": _cell(py, cell / 4 ** (level + 1))})
+    return found.groupBy(point).agg(F.min(polygon).alias(polygon))
 
 
 def _distance_squared(px: Column, py: Column) -> Column:

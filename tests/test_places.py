@@ -93,3 +93,34 @@ def test_long_slanted_edges_take_few_cells(spark):
     edges = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0), (2, 0.0, 5.0, 100.0, 5.0), (3, 2.5, 0.0, 2.5, 40.0)], "poly long, x1 double, y1 double, x2 double, y2 double")
     n = {r.poly: r["count"] for r in spatial._in_cells(edges, 1.0, 1e-9).groupBy("poly").count().collect()}
     assert n[1] <= 400 and n[2] <= 204 and n[3] <= 42
+
+
+def strictly_inside(px, py, rings):
+    edges = [(*a, *b) for r in rings for a, b in zip(r, [*r[1:], r[0]], strict=True)]
+    if any((x2 - x1) * (py - y1) == (y2 - y1) * (px - x1) and min(x1, x2) <= px <= max(x1, x2) and min(y1, y2) <= py <= max(y1, y2) for x1, y1, x2, y2 in edges):
+        return False
+    return sum((y1 > py) != (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in edges) % 2 == 1
+
+
+def test_points_meet_few_of_many_overlapping_polygons(spark, monkeypatch):
+    rng = random.Random(4)
+    square = lambda x, y, w: [(x, y), (x + w, y + w / 8), (x + w, y + w), (x, y + w)]
+    shapes = [[square(rng.uniform(-1, 1), rng.uniform(-1, 1), rng.choice([0.1, 0.5, 1.0]))] for _ in range(400)]
+    shapes += [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)], [(0.25, 0.25), (0.25, 0.75), (0.75, 0.75), (0.75, 0.25)]]] * 200
+    ids = list(range(len(shapes)))
+    rng.shuffle(ids)
+    points = [(i, rng.uniform(-1.2, 2), rng.uniform(-1.2, 2)) for i in range(1500)] + [(2000 + i, rng.randint(-8, 8) / 8, rng.randint(-8, 8) / 8) for i in range(500)] + [(3000, None, 0.0)]
+    met, join = [], spatial.salted_join
+
+    def counted(*args, **kwargs):
+        out = join(*args, **kwargs)
+        if {"_px", "_edges"} <= set(out.columns):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "salted_join", counted)
+    polygons = spark.createDataFrame(list(zip(ids, shapes, strict=True)), "q long, rings array<array<struct<lon: double, lat: double>>>")
+    got = spatial.points_in_polygons(spark.createDataFrame(points, "p long, x double, y double"), "p", "x", "y", polygons, "q", "rings", 0.5)
+    want = {p: min(held) for p, x, y in points[:-1] if (held := [i for i, s in zip(ids, shapes, strict=True) if strictly_inside(x, y, s)])}
+    assert {r.p: r.q for r in got.collect()} == want
+    assert 0 < sum(met) <= len(points) * spatial.FEW_SHAPES
