@@ -23,6 +23,8 @@ LEAF_SIZE = 32
 LEVELS = 9
 #: Edges in a cell before it is cut, in a cell that is compared whole, and in a task.
 HOT_EDGES, FEW, TASK_EDGES = 2048, 64, 1_000_000
+#: Share of a cell by which the cells of edges are moved: edges on round coordinates then lie inside cells, not on the border of several.
+SHIFT = 0.38196601125
 #: Polygons and points in a cell that are compared whole, and how often a cell can be cut into 4 by 4.
 FEW_SHAPES, FEW_POINTS, CUTS = 16, 32, 6
 
@@ -272,14 +274,15 @@ def _in_cells(edges: DataFrame, cell: float, eps: float) -> DataFrame:
     """
     low = lambda c: F.least(f"{c}1", f"{c}2")
     high = lambda c: F.greatest(f"{c}1", f"{c}2")
+    shift = F.lit(cell * SHIFT)
 
     def passing(df: DataFrame, size: Column, x: str, y: str, within: tuple[Column, Column, Column, Column] | None) -> DataFrame:
         """Add the column ``x`` and row ``y`` of each cell of width ``size`` on the edge's way."""
-        at = lambda v: F.floor(v / size).cast("long")
+        at = lambda v: F.floor((v - shift) / size).cast("long")
         bound = within or (F.lit(None),) * 4
         rows = F.sequence(F.greatest(at(low("y") - eps), bound[2]), F.least(at(high("y") + eps), bound[3]))
         df = df.withColumn(y, F.explode(rows))
-        bottom, top = F.greatest(low("y"), F.col(y) * size - eps), F.least(high("y"), (F.col(y) + 1) * size + eps)
+        bottom, top = F.greatest(low("y"), F.col(y) * size + shift - eps), F.least(high("y"), (F.col(y) + 1) * size + shift + eps)
         slope = F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
         cross = lambda v: F.coalesce(F.col("x1") + (v - F.col("y1")) * slope, F.col("x1"))
         flat = F.col("y1") == F.col("y2")
@@ -297,7 +300,7 @@ def _in_cells(edges: DataFrame, cell: float, eps: float) -> DataFrame:
     size, n = F.lit(cell) / F.col("_parts"), F.col("_parts")
     inside = (F.col("_cx") * n, (F.col("_cx") + 1) * n - 1, F.col("_cy") * n, (F.col("_cy") + 1) * n - 1)
     # an edge may miss the rows of the cell by the margin only
-    finer = passing(split.where("_parts > 1").where((F.floor((low("y") - eps) / size) <= inside[3]) & (F.floor((high("y") + eps) / size) >= inside[2])), size, "_fx", "_fy", inside)
+    finer = passing(split.where("_parts > 1").where((F.floor((low("y") - eps - shift) / size) <= inside[3]) & (F.floor((high("y") + eps - shift) / size) >= inside[2])), size, "_fx", "_fy", inside)
     return cool.unionByName(finer.select(*edges.columns, F.xxhash64("_parts", "_fx", "_fy").alias("_cell")))
 
 

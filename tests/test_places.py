@@ -124,3 +124,10 @@ def test_points_meet_few_of_many_overlapping_polygons(spark, monkeypatch):
     want = {p: min(held) for p, x, y in points[:-1] if (held := [i for i, s in zip(ids, shapes, strict=True) if strictly_inside(x, y, s)])}
     assert {r.p: r.q for r in got.collect()} == want
     assert 0 < sum(met) <= len(points) * spatial.FEW_SHAPES
+
+
+def test_edges_on_grid_lines_take_few_cells(spark):
+    # squares of a unit grid: each edge passes two cells at most, not the six that meet on a grid line
+    edges = spark.createDataFrame([(1, 2.0, 3.0, 3.0, 3.0), (2, 3.0, 3.0, 3.0, 4.0), (3, -1.0, 0.0, 0.0, 0.0)], "poly long, x1 double, y1 double, x2 double, y2 double")
+    n = {r.poly: r["count"] for r in spatial._in_cells(edges, 1.0, 1e-9).groupBy("poly").count().collect()}
+    assert max(n.values()) <= 2
