@@ -131,3 +131,20 @@ def test_edges_on_grid_lines_take_few_cells(spark):
     edges = spark.createDataFrame([(1, 2.0, 3.0, 3.0, 3.0), (2, 3.0, 3.0, 3.0, 4.0), (3, -1.0, 0.0, 0.0, 0.0)], "poly long, x1 double, y1 double, x2 double, y2 double")
     n = {r.poly: r["count"] for r in spatial._in_cells(edges, 1.0, 1e-9).groupBy("poly").count().collect()}
     assert max(n.values()) <= 2
+
+
+def test_copies_of_an_outline_are_met_once(spark, monkeypatch):
+    # the own polygons of resolver records: many records with one box
+    met, join = [], spatial.salted_join
+
+    def counted(*args, **kwargs):
+        out = join(*args, **kwargs)
+        if {"_px", "_edges"} <= set(out.columns):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "salted_join", counted)
+    points = spark.createDataFrame([(i, 0.05 + (i % 20) * 0.01, 0.1) for i in range(30)], "p long, x double, y double")
+    got = spatial.points_in_polygons(points, "p", "x", "y", boxes_frame(spark, [(0.1, 0.05, 0.1, 0.1)] * 500), "poly", "rings", 0.1)
+    assert {r.p: r.poly for r in got.collect()} == {i: 0 for i in range(30) if 0.1 < 0.05 + (i % 20) * 0.01 < 0.2}
+    assert sum(met) <= 30
