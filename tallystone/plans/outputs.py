@@ -66,7 +66,7 @@ select cast(count(*) as bigint) n_rows, true as same_when_shuffled, false as sam
 def content_fingerprint(t):
     """The fingerprint ignores row order and sees a single changed value."""
     base = snapshots.fingerprint(t.lineitem)
-    shuffled = snapshots.fingerprint(t.lineitem.repartition(7, "l_partkey"))
+    shuffled = snapshots.fingerprint(t.lineitem.repartition("l_partkey", "l_orderkey"))
     one = F.when(F.struct("l_orderkey", "l_linenumber") == t.lineitem.agg(F.min(F.struct("l_orderkey", "l_linenumber"))).scalar(), -1.0)
     changed = snapshots.fingerprint(t.lineitem.withColumn("l_tax", F.coalesce(one, "l_tax")))
     key = lambda df: df.select(F.concat_ws(":", "n_rows", "hash_a", "hash_b")).scalar()

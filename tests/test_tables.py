@@ -327,3 +327,10 @@ def test_profile_keeps_few_rows_per_task(spark):
     assert got == {"name_a": (3001, False, True, " | v00000 | v00001"), "name_b": (1501, True, False, "ice | x")}
     empty = quality.profile_columns({"t": rows.limit(0)}, "^name", ["ice"]).collect()
     assert {r.n_values for r in empty} == {0}
+
+
+def test_content_fingerprint_shuffles_by_the_width_of_the_session(spark):
+    from tallystone import plans
+
+    plan = plans.queries()["content_fingerprint"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_COL" in plan and "REPARTITION_BY_NUM" not in plan
