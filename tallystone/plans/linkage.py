@@ -26,7 +26,7 @@ select w, min(w) over (partition by k) canonical, count(*) over (partition by k)
 """)
 def equiv_key_join(t):
     """Each word of the documents with the first of its spellings that differ only in case or accents."""
-    words = _words(t.spread("documents", "doc_id"))
+    words = cut_lineage(_words(t.spread("documents", "doc_id")))  # both sides start from them
     found = joins.resolve_ids(words, "w", words.withColumn("canonical", F.col("w")), "w", "canonical", text.equiv_key)
     return found.select("w", "canonical", "n_ids")
 

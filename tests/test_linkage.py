@@ -240,3 +240,10 @@ def test_name_variants_and_sources(spark):
     assert sorted((r.place, r.name, r.n_names) for r in linkage.name_variants(a, ["place"], "name").collect()) == [("P", "x", 2), ("P", "y", 2)]
     got = {(r.place, r.name): (r.in_a, r.in_b, r.place_in_both) for r in linkage.compare_sources(a, b, ["place"], "name", ("a", "b")).collect() if r.name}
     assert got == {("P", "x"): (True, False, True), ("P", "y"): (True, True, True), ("Q", "z"): (True, False, False), ("S", "w"): (False, True, False)}
+
+
+def test_equiv_key_join_splits_the_texts_once(spark):
+    from tallystone import plans
+
+    found = plans.queries()["equiv_key_join"](spark, "/root/testdata/sf0.001")
+    assert "explode" not in found._jdf.queryExecution().optimizedPlan().toString()
