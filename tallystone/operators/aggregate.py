@@ -12,7 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallystone.operators.skew import salted_join
+from tallystone.operators.skew import HOT_SHARE, hot_hashes, salted_join
+from tallystone.session import cut_lineage, shuffle_width
+
+#: Rows in a task that removes repeated members of groups.
+TASK_ROWS = 1_000_000
 
 
 def join_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -117,20 +121,29 @@ def long(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str,
 def member_signatures(df: DataFrame, group: str, member: str) -> DataFrame:
     """One row per group with a fixed-size fingerprint of its set of members.
 
-    Two independent 64-bit hash sums and the set size identify the set without
-    gathering it in one place, so a group of any size is reduced on the map side.
+    Two independent 64-bit hashes, each folded by exclusive or, and the set size identify the set without
+    gathering it in one place. Groups are dealt to so many tasks that none reads much more than ``TASK_ROWS`` rows,
+    however large the input or a split of it. Groups that hold a large part of the rows are reduced on the map side and spread by member.
     """
-    distinct = df.select(group, member).where(F.col(member).isNotNull()).distinct()
-    h1 = F.xxhash64(F.col(member)).cast("decimal(20,0)")
-    h2 = F.xxhash64(F.col(member), F.lit("second")).cast("decimal(20,0)")
-    return distinct.groupBy(group).agg(
-        F.count("*").alias("n_members"), F.sum(h1).alias("_sig_1"), F.sum(h2).alias("_sig_2"))
+    rows = df.select(group, member).where(F.col(member).isNotNull())
+    hot = hot_hashes(rows, [group])
+    n, loose = rows.agg(F.count("*"), F.count_if(F.col(group).isNull())).first()
+    is_hot = F.xxhash64(group).isin(hot) if hot else F.lit(False)
+    # a sketch of keys leaves out the rows without one
+    is_hot = F.when(F.col(group).isNull(), F.lit(loose * HOT_SHARE > n)).otherwise(is_hot)
+    folds = [F.count("*").alias("n_members"), F.bit_xor(F.xxhash64(F.col(member))).alias("_sig_1"),
+             F.bit_xor(F.xxhash64(F.lit("second"), F.col(member))).alias("_sig_2")]
+    width = max(shuffle_width(df.sparkSession), -(-n // TASK_ROWS))
+    signed = rows.where(~is_hot).repartition(width, group).distinct().groupBy(group).agg(*folds)
+    if hot or loose * HOT_SHARE > n:
+        signed = signed.unionByName(rows.where(is_hot).distinct().groupBy(group).agg(*folds))
+    return signed
 
 
 def same_member_groups(df: DataFrame, group: str, member: str) -> DataFrame:
     """Groups that share an identical member set; the id is the smallest group."""
     keys = ["n_members", "_sig_1", "_sig_2"]
-    signed = member_signatures(df, group, member)
+    signed = cut_lineage(member_signatures(df, group, member))
     shared = signed.groupBy(*keys).agg(F.min(group).alias("set_id"), F.count("*").alias("n_groups"))
     shared = shared.where("n_groups > 1")
     return salted_join(signed, shared, keys, spread_by=[group]).select(group, "set_id", "n_groups", "n_members")

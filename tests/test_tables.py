@@ -144,6 +144,23 @@ def test_same_member_groups(spark):
     assert sorted(map(tuple, aggregate.same_member_groups(df, "g", "m").collect())) == [(1, 1, 2, 2), (2, 1, 2, 2)]
 
 
+def test_same_members_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(aggregate, "TASK_ROWS", 50)
+    rows = [(g, m) for g in range(300) for m in range(g % 5, g % 5 + g % 4 + 1)] * 2
+    rows += [(g, m % 40) for g in (1000, 1001, None) for m in range(400)] + [(2000, None)]
+    df = spark.createDataFrame(rows, "g long, m long")
+    assert aggregate.member_signatures(df.where("g < 300"), "g", "m").rdd.getNumPartitions() >= len(rows[:-1201]) // 50
+    sets, same = {}, {}
+    for g, m in rows:
+        if m is not None:
+            sets.setdefault(g, set()).add(m)
+    for g, held in sets.items():
+        same.setdefault(frozenset(held), []).append(g)
+    want = {(g, min(x for x in gs if x is not None), len(gs), len(held)) for held, gs in same.items() if len(gs) > 1 for g in gs}
+    got = [tuple(r) for r in aggregate.same_member_groups(df, "g", "m").collect()]
+    assert len(got) == len(want) and set(got) == want and (None, 1000, 3, 40) in want
+
+
 def test_lump_and_top(spark):
     df = spark.createDataFrame([("a",)] * 98 + [("b",), ("c",), (None,)], "x string")
     got = {r.label: r.n for r in aggregate.counts_by(aggregate.lump_rare(df, "x", 0.02, F.when(F.col("x") == "b", "Other b").otherwise("Other")), ["label"]).collect()}
