@@ -95,6 +95,7 @@ def points_in_polygons(points: DataFrame, point: str, x: str, y: str, polygons:
     live = points.select(point, F.col(x).alias("_px"), F.col(y).alias("_py"), _cell(F.col(x), cell).alias("_cx"), _cell(F.col(y), cell).alias("_cy"),
                          F.lit(None).cast(polygons.schema[polygon].dataType).alias("_held"))
     px, py = F.col("_px"), F.col("_py")
+    live = live.where(~F.isnan(px) & ~F.isnan(py))  # such a coordinate has a cell, but lies in nothing
 
     def on(e: Column) -> Column:
         cross = (e["x2"] - e["x1"]) * (py - e["y1"]) - (e["y2"] - e["y1"]) * (px - e["x1"])

@@ -148,3 +148,11 @@ def test_copies_of_an_outline_are_met_once(spark, monkeypatch):
     got = spatial.points_in_polygons(points, "p", "x", "y", boxes_frame(spark, [(0.1, 0.05, 0.1, 0.1)] * 500), "poly", "rings", 0.1)
     assert {r.p: r.poly for r in got.collect()} == {i: 0 for i in range(30) if 0.1 < 0.05 + (i % 20) * 0.01 < 0.2}
     assert sum(met) <= 30
+
+
+def test_no_polygon_holds_a_point_that_is_no_number(spark):
+    # one polygon holds whole cells around the origin, where the cell of such a coordinate would be
+    nan, inf = float("nan"), float("inf")
+    points = [(1, nan, nan), (2, nan, 0.3), (3, 0.3, nan), (4, inf, 0.3), (5, -inf, nan), (6, 0.3, 0.3), (7, None, nan)]
+    got = spatial.points_in_polygons(spark.createDataFrame(points, "p long, x double, y double"), "p", "x", "y", boxes_frame(spark, [(-2.0, -2.0, 4.0, 4.0)]), "poly", "rings", 0.5)
+    assert {r.p: r.poly for r in got.collect()} == {6: 0}
