@@ -26,7 +26,9 @@ HOT_EDGES, FEW, TASK_EDGES = 2048, 64, 1_000_000
 #: Share of a cell by which the cells of edges are moved: edges on round coordinates then lie inside cells, not on the border of several.
 SHIFT = 0.38196601125
 #: Polygons and points in a cell that are compared whole, and how often a cell can be cut into 4 by 4.
-FEW_SHAPES, FEW_POINTS, CUTS = 16, 32, 6
+FEW_SHAPES, FEW_POINTS, CUTS = 4, 32, 6
+#: Columns that hold the box of an outline.
+BOX = ("_xlo", "_xhi", "_ylo", "_yhi")
 
 def ring_edges(rings: Column) -> Column:
     """All edges of all rings, each ring closed."""
@@ -44,10 +46,11 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
 
 
-def _span(edges: Column, axis: str, size: float) -> Column:
+def _reach(edges: Column, axis: str) -> list[Column]:
+    """Least and greatest coordinate of the edges, as ``_<axis>lo`` and ``_<axis>hi``."""
     lo = F.array_min(F.transform(edges, lambda e: F.least(e[f"{axis}1"], e[f"{axis}2"])))
     hi = F.array_max(F.transform(edges, lambda e: F.greatest(e[f"{axis}1"], e[f"{axis}2"])))
-    return F.sequence(_cell(lo, size), _cell(hi, size))
+    return [lo.alias(f"_{axis}lo"), hi.alias(f"_{axis}hi")]
 
 
 def _parity(edges: str, px: Column, py: Column) -> Column:
@@ -67,6 +70,8 @@ def _against_cells(rows: DataFrame, polygon: str, size: float) -> DataFrame:
     """
     margin = F.lit(size * 1e-6) + (F.abs("_cx") + F.abs("_cy") + 2) * F.lit(size * 1e-12)
     mid_x, mid_y, half = (F.col("_cx") + 0.5) * F.lit(size), (F.col("_cy") + 0.5) * F.lit(size), margin + size / 2
+    # plain comparisons first: most of the finer cells of a cut cell lie beside the outline
+    rows = rows.where((F.col("_xlo") <= mid_x + half) & (F.col("_xhi") >= mid_x - half) & (F.col("_ylo") <= mid_y + half) & (F.col("_yhi") >= mid_y - half))
     rows = rows.withColumn("_edges", F.filter("_edges", lambda e: (F.least(e["y1"], e["y2"]) <= mid_y + half) & (F.greatest(e["y1"], e["y2"]) >= mid_y - half)))
 
     def meets(e: Column) -> Column:
@@ -76,7 +81,7 @@ def _against_cells(rows: DataFrame, polygon: str, size: float) -> DataFrame:
                 & (F.abs(side) <= half * (F.abs(dx) + F.abs(dy))))
 
     rows = rows.withColumn("_met", F.exists("_edges", meets)).where(F.col("_met") | _parity("_edges", mid_x, mid_y))
-    return rows.select(polygon, "_cx", "_cy", F.when(F.col("_met"), F.col("_edges")).alias("_edges"))
+    return rows.select(polygon, "_cx", "_cy", *BOX, F.when(F.col("_met"), F.col("_edges")).alias("_edges"))
 
 
 def points_in_polygons(points: DataFrame, point: str, x: str, y: str, polygons: DataFrame, polygon: str, rings: str,
@@ -90,11 +95,12 @@ def points_in_polygons(points: DataFrame, point: str, x: str, y: str, polygons:
     place = ["_cx", "_cy"]
     shaped = polygons.select(polygon, ring_edges(F.col(rings)).alias("_edges")).where(F.size("_edges") > 0)
     shaped = shaped.groupBy("_edges").agg(F.min(polygon).alias(polygon))
-    rows = shaped.select(polygon, "_edges", _span(F.col("_edges"), "x", cell).alias("_xs"), F.explode(_span(F.col("_edges"), "y", cell)).alias("_cy"))
-    rows = rows.select(polygon, "_edges", F.explode("_xs").alias("_cx"), "_cy")
+    shaped = shaped.select(polygon, "_edges", *_reach(F.col("_edges"), "x"), *_reach(F.col("_edges"), "y"))
+    span = lambda c: F.explode(F.sequence(_cell(F.col(f"_{c}lo"), cell), _cell(F.col(f"_{c}hi"), cell)))
+    rows = shaped.withColumn("_cy", span("y")).withColumn("_cx", span("x"))
     live = points.select(point, F.col(x).alias("_px"), F.col(y).alias("_py"), _cell(F.col(x), cell).alias("_cx"), _cell(F.col(y), cell).alias("_cy"),
                          F.lit(None).cast(polygons.schema[polygon].dataType).alias("_held"))
-    px, py = F.col("_px"), F.col("_py")
+    px, py, width = F.col("_px"), F.col("_py"), shuffle_width(points.sparkSession)
     live = live.where(~F.isnan(px) & ~F.isnan(py))  # such a coordinate has a cell, but lies in nothing
 
     def on(e: Column) -> Column:
@@ -118,13 +124,15 @@ def points_in_polygons(points: DataFrame, point: str, x: str, y: str, polygons:
         met = met if last else cut_lineage(met)
         done = met.where("_cut is null or not _cut")
         tested = salted_join(done.where("_cut is not null"), partly.join(load.where("not _cut").select(*place), place, "left_semi"), place, [point], growth=32)
-        inside = tested.where(_parity("_edges", px, py) & ~F.exists("_edges", on)).select(point, polygon)
+        boxed = px.between(F.col("_xlo"), F.col("_xhi")) & py.between(F.col("_ylo"), F.col("_yhi"))
+        inside = tested.where(boxed & _parity("_edges", px, py) & ~F.exists("_edges", on)).select(point, polygon)
         inside = inside.unionByName(done.where("_held is not null").select(point, F.col("_held").alias(polygon)))
         found = inside if found is None else found.unionByName(inside)
         if last:
             break
         finer = lambda c: F.explode(F.sequence(F.col(c) * 4, F.col(c) * 4 + 3))
-        rows = partly.join(load.where("_cut").select(*place), place, "left_semi").withColumn("_cx", finer("_cx")).withColumn("_cy", finer("_cy"))
+        rows = partly.join(load.where("_cut").select(*place), place, "left_semi").repartition(width, polygon, *place)  # few bytes, much work
+        rows = rows.withColumn("_cx", finer("_cx")).withColumn("_cy", finer("_cy"))
         live = met.where("_cut").drop("_cut").withColumns({"_cx": _cell(px, cell / 4 ** (level + 1)), "_cy": _cell(py, cell / 4 ** (level + 1))})
     return found.groupBy(point).agg(F.min(polygon).alias(polygon))
 
@@ -190,7 +198,10 @@ def _frontier(places: DataFrame, nodes: DataFrame, group: Sequence[str]) -> Data
     # a node has 64 children at most
     children = cut_lineage(nodes.groupBy(*group, F.col("parent").alias("node")).agg(
         F.collect_list(F.struct("node", "leaf", "xlo", "xhi", "ylo", "yhi", "mark")).alias("_kids")))
-    live = places.withColumns({"node": F.lit(0).cast("long"), "leaf": F.lit(False), "_near": F.lit(0.0), "_known": F.lit(float("inf"))})
+    # places are few bytes and much work: their tasks are as many as the session says, not as few as their size
+    # (by a hash of their own: a repartition by the columns of the grouping before it would be left out)
+    dealt = lambda df: df.repartition(shuffle_width(places.sparkSession), F.xxhash64(*place))
+    live = dealt(places).withColumns({"node": F.lit(0).cast("long"), "leaf": F.lit(False), "_near": F.lit(0.0), "_known": F.lit(float("inf"))})
     while True:
         down = salted_join(live.where("not leaf").drop("leaf", "_near"), children, [*group, "node"], ["_px", "_py"])
         down = down.withColumn("_kids", F.transform("_kids", seen))
@@ -198,7 +209,7 @@ def _frontier(places: DataFrame, nodes: DataFrame, group: Sequence[str]) -> Data
         down = down.select(*place, "_known", F.explode(F.filter("_kids", lambda k: k["_near"] <= F.col("_known") * (1 + 1e-9))).alias("_k"))
         reached = live.where("leaf").unionByName(down.select(*place, "_k.node", "_k.leaf", "_k._near", "_known"))
         best = reached.withColumn("_known", F.min("_known").over(Window.partitionBy(*place)))  # a few nodes per place
-        live = cut_lineage(best.where(F.col("_near") <= F.col("_known") * (1 + 1e-9)))
+        live = cut_lineage(dealt(best.where(F.col("_near") <= F.col("_known") * (1 + 1e-9))))
         if live.where("not leaf").isEmpty():
             return live.select(*place, "node")
 

@@ -150,6 +150,26 @@ def test_copies_of_an_outline_are_met_once(spark, monkeypatch):
     assert sum(met) <= 30
 
 
+def test_points_in_cells_with_a_dozen_outlines_meet_few_of_them(spark, monkeypatch):
+    # own polygons of resolver records with many different names: fewer outlines in a cell than in the crowds above, but many points
+    rng = random.Random(9)
+    rects = [(rng.uniform(0, 0.5), rng.uniform(0, 0.5), 0.1, 0.1) for _ in range(110)]
+    points = [(i, rng.uniform(0, 0.6), rng.uniform(0, 0.6)) for i in range(3000)]
+    met, join = [], spatial.salted_join
+
+    def counted(*args, **kwargs):
+        out = join(*args, **kwargs)
+        if {"_px", "_edges"} <= set(out.columns):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "salted_join", counted)
+    got = spatial.points_in_polygons(spark.createDataFrame(points, "p long, x double, y double"), "p", "x", "y", boxes_frame(spark, rects), "poly", "rings", 0.1)
+    want = {p: min(held) for p, x, y in points if (held := [i for i, (a, b, w, h) in enumerate(rects) if a < x < a + w and b < y < b + h])}
+    assert {r.p: r.poly for r in got.collect()} == want
+    assert 0 < sum(met) <= 3 * len(points)
+
+
 def test_no_polygon_holds_a_point_that_is_no_number(spark):
     # one polygon holds whole cells around the origin, where the cell of such a coordinate would be
     nan, inf = float("nan"), float("inf")
