@@ -13,7 +13,7 @@ from tallystone.operators.aggregate import counts_by
 from tallystone.operators.skew import salted_join
 from tallystone.operators.spatial import assign_points, points_in_polygons
 from tallystone.registry import query
-from tallystone.session import cut_lineage
+from tallystone.session import cut_lineage, shuffle_width
 
 KEYS = ["dep", "word"]
 SHOWN = 5
@@ -70,7 +70,9 @@ sets as (select dep, word, part, count(*) n, list_sort(list(ident))[:5] ids from
 def _crosswalk(t):
     q = F.substring("p_brand", 7, 9).cast("int") * 7 + F.ascii("p_name")
     k = F.col("p_partkey")
-    parts = t.spread("part", "p_partkey").select(k, F.col("p_brand").alias("dep"), F.regexp_extract("p_name", r"^(\w+)", 1).alias("word"), "p_size", "p_type", q.alias("q"))
+    # few bytes and much work: splits may outnumber row groups, and tasks without a row group have no rows; the joins after this are broadcast and keep the tasks
+    dealt = t.part.repartition(shuffle_width(t.spark), k)
+    parts = cut_lineage(dealt.select(k, F.col("p_brand").alias("dep"), F.regexp_extract("p_name", r"^(\w+)", 1).alias("word"), "p_size", "p_type", q.alias("q")))
     district = F.when(F.col("q") % 4 == 0, F.col("q") % 9).when(F.col("q") % 4 == 1, (F.col("q") + 2 * (k % 2)) % 9).otherwise((k * 5 + F.col("p_size")) % 9)
     records = parts.where(k % 3 != 0).select(k.alias("rec"), *KEYS, district.cast("long").alias("district"))
     kind = F.when(F.col("p_type").isin("PROMO", "STANDARD"), 1).when(F.col("p_type") == "ECONOMY", 2)

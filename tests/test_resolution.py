@@ -9,6 +9,8 @@ from tallystone.functions.identifiers import doi_key, isbn13, isbn_key, year_key
 from tallystone.operators import resolver
 from tallystone.operators.library import match_library
 from tallystone.operators.spatial import centroid
+from tallystone.plans import crosswalk
+from tallystone.registry import Tables
 
 KEYS = ["k"]
 
@@ -71,6 +73,33 @@ def test_components_of_touching_districts_inside_each_pool(spark, districts):
     assert {r.ident for r in members.where(F.col("part") == got[3].part).collect()} == {12, 13}
 
 
+def test_parts_in_one_row_group_are_dealt_to_all_tasks(spark, tmp_path, monkeypatch):
+    # a file of more splits than cores, but only one of them has rows
+    made = [(i, f"{'red' if i % 3 else 'blue'} ring", f"Brand#{i % 25}", "PROMO", i % 50, 900.0 + i) for i in range(20000)]
+    spark.createDataFrame(made, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    written = []
+
+    class Written(Exception):
+        pass
+
+    def first(df):
+        written.extend(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+        raise Written
+
+    monkeypatch.setattr(crosswalk, "cut_lineage", first)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        assert Tables(spark, str(tmp_path)).part.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+        with pytest.raises(Written):
+            crosswalk._crosswalk(Tables(spark, str(tmp_path)))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert max(written) * 2 < sum(written)
+
+
 def test_first_k_is_bounded_and_counts_all(spark):
     rows = [("big", i % 500) for i in range(2000)] + [("small", 2), ("small", None), (None, 1)]
     got = {r.g: r for r in resolver.first_k(spark.createDataFrame(rows, "g string, v long"), ["g"], "v", 3, "vs").collect()}
